@@ -40,15 +40,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def lookup(rows: DataFrame, facts: DataFrame, key: list[str], n_rows: int, spread: str, count: str = "n") -> DataFrame:
+def lookup(rows: DataFrame, facts: DataFrame, key: list[str], n_rows: int, spread: str, count: str = "n", share: int = HOT_SHARE) -> DataFrame:
     """Left join of ``rows`` with ``facts`` (one row per key, ``count`` its number of rows) that no hot key slows.
 
-    Keys that hold 1/HOT_SHARE of ``n_rows`` or more number HOT_SHARE at most,
+    Keys that hold 1/share of ``n_rows`` or more number ``share`` at most,
     so their facts are broadcast whatever the input's size; all other keys go
     through a shuffled join.  Rows of hot and null keys pass that join too, dealt
     by the column ``spread`` instead of their key, so the input is read once.
     """
-    least = max(HOT_MIN_ROWS, n_rows // HOT_SHARE)
+    least = max(HOT_MIN_ROWS, n_rows // share)
     names = [c for c in facts.columns if c not in key]
     hot = facts.where(F.col(count) >= least).select(*[F.col(k).alias(f"_h_{k}") for k in key], F.struct(*names).alias("_hot"))
     cold = facts.where(F.col(count) < least).select(*[F.col(k).alias(f"_c_{k}") for k in key], F.lit(0).cast("long").alias("_c_s"), F.struct(*names).alias("_cold"))

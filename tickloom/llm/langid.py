@@ -141,3 +141,19 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
             )
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(predict, "doc_id bigint, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, profiles: Profiles, min_score: float) -> DataFrame:
+    """Rows of ``docs`` whose text is in a known language with at least ``min_score``; all columns stay, one pass, no shuffle.
+
+    Texts that are null or have no letter go; with no profiles nothing is known
+    and all rows go.  Repeated rows are judged alike.
+    """
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [profiles.nearest(t) for t in b.column(at).to_pylist()]
+            yield b.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

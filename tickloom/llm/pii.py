@@ -134,6 +134,7 @@ def redact(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     Overlapping spans of several kinds are replaced together under the first
     one's kind.  Null texts stay null; all columns and their order are kept.
     """
+    own = "_marks_of_pii"
     text = F.col("text").cast("string")
     safe = F.coalesce(text, F.lit(""))
     marks = F.array_sort(
@@ -146,8 +147,8 @@ def redact(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
         return F.struct(F.greatest(acc["at"], end).alias("at"), F.when(x["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
 
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate(F.col("_marks"), first, cut, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(safe, acc["at"] + 1, F.length(safe))))
-    out = docs.withColumn("_marks", marks).withColumn("text", F.when(F.size("_marks") > 0, clean).otherwise(text)).drop("_marks")
+    clean = F.aggregate(F.col(own), first, cut, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(safe, acc["at"] + 1, F.length(safe))))
+    out = docs.withColumn(own, marks).withColumn("text", F.when(F.size(own) > 0, clean).otherwise(text)).drop(own)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(text.isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
