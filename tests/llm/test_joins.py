@@ -14,9 +14,12 @@ def shingle_set(text, k=3):
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
 
 
-def brute(pairs):
+THREE, FIVE = jaccard.Rule(90, 3), jaccard.Rule(80, 5)
+
+
+def brute(pairs, rule=THREE):
     """Components by holding every document against every other."""
-    sets = {i: shingle_set(t) for i, t in pairs}
+    sets = {i: shingle_set(t, rule.words) for i, t in pairs}
     up = {i: i for i in sets}
 
     def top(x):
@@ -28,7 +31,7 @@ def brute(pairs):
     for n, i in enumerate(ids):
         for j in ids[n + 1 :]:
             common_ = len(sets[i] & sets[j])
-            if common_ and 100 * common_ >= 90 * (len(sets[i]) + len(sets[j]) - common_):
+            if common_ and 100 * common_ >= rule.percent * (len(sets[i]) + len(sets[j]) - common_):
                 a, b = top(i), top(j)
                 up[max(a, b)] = min(a, b)
     return sorted(((i, len(sets[i]), top(i)) for i in sets), key=repr)
@@ -54,37 +57,44 @@ def corpus(n, seed):
     return out[:n]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_equal_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,rule", [(1, THREE), (2, THREE), (3, FIVE)])
+def test_components_equal_brute_force(spark, seed, rule):
     texts = corpus(400, seed)
     random.Random(seed).shuffle(texts)
-    assert rows(jaccard.join(docs(spark, texts)), "doc_id", "n_shingles", "component_id") == brute(list(enumerate(texts)))
+    assert rows(jaccard.join(docs(spark, texts), rule), "doc_id", "n_shingles", "component_id") == brute(list(enumerate(texts)), rule)
+
+
+def test_long_lists_are_cut_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LONGEST", 3)
+    texts = corpus(250, 4)
+    assert rows(jaccard.join(docs(spark, texts), FIVE), "doc_id", "n_shingles", "component_id") == brute(list(enumerate(texts)), FIVE)
 
 
 def test_chains_and_unlinked_centres(spark):
     """Neighbours of a chain link, its ends do not, and the smallest id is in the middle or apart."""
     words = [f"w{i}" for i in range(200)]
     texts = [" ".join(words[4 * k : 4 * k + 100]) for k in (3, 0, 1, 2, 4, 5, 9, 8)]
-    assert rows(jaccard.join(docs(spark, texts)), "doc_id", "n_shingles", "component_id") == brute(list(enumerate(texts)))
+    assert rows(jaccard.join(docs(spark, texts), THREE), "doc_id", "n_shingles", "component_id") == brute(list(enumerate(texts)))
 
 
-def test_linked_sets_share_a_key():
+@pytest.mark.parametrize("rule", [THREE, FIVE])
+def test_linked_sets_share_a_key(rule):
     rng = np.random.default_rng(1)
     for _ in range(3000):
-        n = int(rng.choice([9, 10, 11, 15, 18, 19, 20, 21, 27, 28, 30, 45, 100, 300, 449, 450]))
+        n = int(rng.choice([4, 5, 8, 9, 10, 11, 13, 15, 18, 19, 20, 21, 27, 28, 30, 45, 100, 300, 449, 450]))
         a = rng.integers(0, 2**62, n).astype(np.uint64) * np.uint64(2)
-        keep = int(rng.integers(int(n * 0.85), n + 1))
-        b = np.concatenate([rng.permutation(a)[:keep], rng.integers(0, 2**62, int(rng.integers(0, n // 8 + 2))).astype(np.uint64) * np.uint64(2) + np.uint64(1)])
+        keep = int(rng.integers(int(n * (rule.percent - 5) / 100), n + 1))
+        b = np.concatenate([rng.permutation(a)[:keep], rng.integers(0, 2**62, int(rng.integers(0, n // 4 + 2))).astype(np.uint64) * np.uint64(2) + np.uint64(1)])
         a, b = np.unique(a), np.unique(b)
         both = len(np.intersect1d(a, b))
-        if 100 * both >= 90 * (len(a) + len(b) - both) and not np.array_equal(a, b):
-            assert len(np.intersect1d(jaccard.keys_of(a), jaccard.keys_of(b))), (len(a), len(b), both)
+        if 100 * both >= rule.percent * (len(a) + len(b) - both) and not np.array_equal(a, b):
+            assert len(np.intersect1d(jaccard.keys_of(a, rule), jaccard.keys_of(b, rule))), (len(a), len(b), both)
 
 
 def test_boundary_follows_cost():
-    n = jaccard.boundary()
-    cost = lambda k: jaccard.blocks(k) * (1 + jaccard.SHARED * k)
-    assert all(jaccard.subsets(k) <= cost(k) for k in range(1, n)) and jaccard.subsets(n) > cost(n)
+    for rule in (THREE, FIVE):
+        n, cost = rule.boundary, lambda k: rule.blocks(k) * (1 + jaccard.SHARED * k)  # noqa: B023, E731
+        assert all(rule.subsets(k) <= cost(k) for k in range(1, n)) and rule.subsets(n) > cost(n)
 
 
 def test_jaccard_of_awkward_rows(spark):
@@ -101,10 +111,18 @@ def test_deduplicate(spark):
     assert sorted((r["doc_id"] for r in got.collect()), key=repr) == sorted([1, 2, 3, 4, None, 5, 6], key=repr)
     texts = corpus(200, 5)
     kept = {r["doc_id"] for r in jaccard.deduplicate(docs(spark, texts)).collect()}
-    assert kept == {c for _, _, c in brute(list(enumerate(texts)))}
+    assert kept == {c for _, _, c in brute(list(enumerate(texts)), FIVE)}
     assert jaccard.deduplicate(empty(spark)).count() == 0
 
 
+def test_sketches_never_drop_a_link():
+    rng = np.random.default_rng(2)
+    for _ in range(500):
+        a, b = (np.unique(rng.integers(0, 400, int(rng.integers(1, 300))).astype(np.uint64)) for _ in range(2))
+        bits = sum(int(x).bit_count() for x in (jaccard.sketch(a) ^ jaccard.sketch(b)).view(np.uint64))
+        assert bits <= len(np.setxor1d(a, b))
+
+
 @pytest.mark.parametrize("shape", ["path", "star", "random", "none"])
 def test_connected_components(spark, shape):
     rng = random.Random(9)

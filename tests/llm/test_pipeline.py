@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from helpers import DOCS
-from test_joins import brute
+from test_joins import FIVE, brute
 from tickloom.llm import queries
 
 DATA = "/root/testdata/sf0.001"
@@ -39,7 +39,7 @@ def test_stages_take_effect(spark, small):
         seen[name] = {r["doc_id"]: r["text"] for r in docs.collect()}
     every = {r[0]: r[1] for r in source}
     assert set(every) - set(seen["language_id"]) == {104, 105, 106}
-    assert set(seen["near_duplicates"]) == {c for _, _, c in brute(list(seen["language_id"].items()))}
+    assert set(seen["near_duplicates"]) == {c for _, _, c in brute(list(seen["language_id"].items()), FIVE)}
     assert set(seen["near_duplicates"]) - set(seen["decontamination"]) == {102}
     assert set(seen["pii"]) == set(seen["decontamination"])
     assert seen["pii"][103].endswith("<EMAIL> <IP>") and all(t == every[i] for i, t in seen["pii"].items() if i != 103)

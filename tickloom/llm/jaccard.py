@@ -12,88 +12,95 @@ subsets; sets just under it take part in both.
 
 Equal sets are one node from the start.  In each list all nodes are first held
 against the smallest only; pairs within a component found so are not looked at
-again, the remaining pairs of a list are.  Every candidate is confirmed on the
-whole sets, so the links are exact.
+again, the remaining pairs of a list are.  Sketches that differ in more bits than
+linked sets can differ in shingles drop a pair before it is made, and every
+candidate is confirmed on the whole sets, so the links are exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
+from functools import cached_property
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, lookup, materialize
+from .common import HOT_SHARE, components, lookup, materialize
 from .shingles import Words, mix, shingles
 
-#: A link: DEN * intersection >= NUM * union.
-NUM, DEN = 90, 100
-WORDS = 3
+#: Words in a shingle, and the least similarity in percent.
+WORDS, PERCENT = 5, 80
 #: Sizes of a class of large sets reach from its first size to this many times it.
 CLASS = 1.5
 #: Assumed share of lists with a second entry, each of which costs a pass over the set.
 SHARED = 0.5
 #: Independent cuts into blocks tried for a set that leaves a block empty.
 CUTS = 3
+#: Lists longer than this are cut into parts by further keys, so many times at most, before their pairs are formed.
+LONGEST, SEEDS = 4096, 2
+#: Bits of the filters for the documents that are read again, at most.
+FILTER_BITS = 1 << 25
 #: Hot centres whose sets are broadcast for the confirmation, at most.
 CENTRES = 64
 
 
-def most_partner(n: int) -> int:
-    """Size of the largest set that can link with one of size ``n``."""
-    return n * DEN // NUM
+@dataclass(frozen=True)
+class Rule:
+    """A link: 100 * intersection >= percent * union, over sets of shingles of so many words."""
 
+    percent: int = PERCENT
+    words: int = WORDS
 
-def left_out(n: int) -> int:
-    """Shingles of a set of size ``n`` that a linked set can lack."""
-    return n - -(-NUM * n // DEN)
+    def most_partner(self, n: int) -> int:
+        """Size of the largest set that can link with one of size ``n``."""
+        return n * 100 // self.percent
 
+    def left_out(self, n: int) -> int:
+        """Shingles of a set of size ``n`` that a linked set can lack."""
+        return n - -(-self.percent * n // 100)
 
-def blocks(largest: int) -> int:
-    """Blocks for linked pairs whose smaller set has at most ``largest``: their possible differences and one."""
-    return 1 + (largest + most_partner(largest)) * (DEN - NUM) // (DEN + NUM)
+    def blocks(self, largest: int) -> int:
+        """Blocks for linked pairs whose smaller set has at most ``largest``: their possible differences and one."""
+        return 1 + (largest + self.most_partner(largest)) * (100 - self.percent) // (100 + self.percent)
 
+    def subsets(self, n: int) -> int:
+        return sum(comb(n, i) for i in range(self.left_out(n) + 1))
 
-def subsets(n: int) -> int:
-    return sum(comb(n, i) for i in range(left_out(n) + 1))
+    @cached_property
+    def boundary(self) -> int:
+        """Smallest size at which the lists are expected to cost less than the subsets."""
+        n = 1
+        while self.subsets(n) <= self.blocks(n) * (1 + SHARED * n):
+            n += 1
+        return n
 
+    @cached_property
+    def class_edges(self) -> tuple[int, ...]:
+        """First sizes of the classes; the first takes in all partners of large sets."""
+        edges = [-(-self.percent * self.boundary // 100)]
+        while edges[-1] < 1 << 40:
+            edges.append(int(edges[-1] * CLASS) + 1)
+        return tuple(edges)
 
-@lru_cache(maxsize=1)
-def boundary() -> int:
-    """Smallest size at which the lists are expected to cost less than the subsets."""
-    n = 1
-    while subsets(n) <= blocks(n) * (1 + SHARED * n):
-        n += 1
-    return n
 
-
-@lru_cache(maxsize=1)
-def class_edges() -> tuple[int, ...]:
-    """First sizes of the classes; the first takes in all partners of large sets."""
-    edges = [-(-NUM * boundary() // DEN)]
-    while edges[-1] < 1 << 40:
-        edges.append(int(edges[-1] * CLASS) + 1)
-    return tuple(edges)
-
-
-def _subset_keys(h: np.ndarray) -> np.ndarray:
-    """A key for every subset that leaves out ``left_out`` shingles at most: the sum of its mixed hashes, with its size."""
+def _subset_keys(h: np.ndarray, most: int) -> np.ndarray:
+    """A key for every subset that leaves out ``most`` shingles at most: the sum of its mixed hashes, with its size."""
     m = mix(h)
     level = [(m.sum(dtype=np.uint64)[None], np.array([-1]))]
-    for _ in range(left_out(len(h))):
+    for _ in range(most):
         sums, last = level[-1]
         more = [(sums[i] - m[last[i] + 1 :], np.arange(last[i] + 1, len(m))) for i in range(len(sums))]
         level.append((np.concatenate([x[0] for x in more]), np.concatenate([x[1] for x in more])))
     return np.concatenate([mix(sums + np.uint64(0x51ED270B * (len(h) - i))) for i, (sums, _) in enumerate(level)])
 
 
-def _block_keys(h: np.ndarray, cls: int, count: int) -> list[np.ndarray]:
-    """A key for every block that is not empty.
+def _block_keys(h: np.ndarray, cls: int, count: int, seed: int = 0) -> list[np.ndarray]:
+    """A key for every block that is not empty; another ``seed`` cuts the universe elsewhere.
 
     Two sets that agree on nothing but empty blocks both have one, so each of
     them is cut a second and third time by other hashes, and at the last cut
@@ -101,12 +108,12 @@ def _block_keys(h: np.ndarray, cls: int, count: int) -> list[np.ndarray]:
     """
     out, k = [], np.arange(count, dtype=np.uint64)
     for cut in range(CUTS):
-        own = np.sort(h) if not cut else np.sort(mix(h + np.uint64(cut)))
+        own = np.sort(mix(h + np.uint64(seed * CUTS + cut))) if seed or cut else h
         edge = np.searchsorted(own, np.append(np.zeros(1, np.uint64), (k[1:] * (np.uint64(2**64 - 1) // np.uint64(count)))))
         edge = np.append(edge, len(own))
         total = np.append(np.zeros(1, np.uint64), np.cumsum(mix(own), dtype=np.uint64))
         sums, held = total[edge[1:]] - total[edge[:-1]], np.diff(edge)
-        tag = np.uint64((cls * CUTS + cut + 1) * 0x2545F4914F6CDD1D % 2**64)
+        tag = np.uint64(((seed * 100 + cls) * CUTS + cut + 1) * 0x2545F4914F6CDD1D % 2**64)
         keys = mix(mix(sums + held.astype(np.uint64)) + mix(k + tag))
         full = held > 0
         out.append(keys[full] if cut < CUTS - 1 else keys)
@@ -115,74 +122,194 @@ def _block_keys(h: np.ndarray, cls: int, count: int) -> list[np.ndarray]:
     return out
 
 
-def keys_of(h: np.ndarray) -> np.ndarray:
-    """Keys of a set: two linked sets that are not equal share one at least."""
-    n, edges = len(h), class_edges()
+def keys_of(h: np.ndarray, rule: Rule, seed: int = 0) -> np.ndarray:
+    """Keys of a set, h sorted: two linked sets that are not equal share one at least, under each seed."""
+    n, edges = len(h), rule.class_edges
     out: list[np.ndarray] = []
-    if n < boundary() and most_partner(n) > n or left_out(n) and n < boundary():
-        out.append(_subset_keys(h))
+    if n < rule.boundary and (rule.left_out(n) or rule.most_partner(n) > n):
+        out.append(_subset_keys(h, rule.left_out(n)))
     if n >= edges[0]:
         cls = int(np.searchsorted(edges, n, "right")) - 1
-        out += _block_keys(h, cls, blocks(edges[cls + 1] - 1))
-        if cls and n <= most_partner(edges[cls] - 1):
-            out += _block_keys(h, cls - 1, blocks(edges[cls] - 1))
+        out += _block_keys(h, cls, rule.blocks(edges[cls + 1] - 1), seed)
+        if cls and n <= rule.most_partner(edges[cls] - 1):
+            out += _block_keys(h, cls - 1, rule.blocks(edges[cls] - 1), seed)
     return np.unique(np.concatenate(out)) if out else np.empty(0, dtype=np.uint64)
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """512 bits, each the parity of the shingles that fall on it: two sets differ in as many bits at most as in shingles."""
+    odd = np.bincount((mix(h) & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
 
 
-def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id, n, h1, h2, keys`` for every row: set size, the set's 128-bit digest, its keys."""
+_SKETCH = tuple(f"s{i}" for i in range(8))
+
+
+def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
+    """``doc_id, n, h1, h2, s0..s7`` for every row: set size, the set's 128-bit digest, its sketch."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Words()
         for b in batches:
-            n, h1, h2, keys, ends = [], [], [], [], [0]
+            n, h1, h2, bits = [], [], [], []
             for text in b.column(1).to_pylist():
-                h = shingles(text, seen, words)
+                h = shingles(text, seen, rule.words)
                 d = xxhash.xxh3_128_intdigest(h.tobytes())
                 n.append(len(h))
                 h1.append((d >> 64) - (1 << 63))
                 h2.append((d & (1 << 64) - 1) - (1 << 63))
-                keys.append(keys_of(h))
+                bits.append(sketch(h))
+            wide = np.array(bits, np.int64).reshape(-1, len(_SKETCH))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), *[pa.array(wide[:, i]) for i in range(len(_SKETCH))]], names=["doc_id", "n", "h1", "h2", *_SKETCH])
+
+    return _texts(docs).mapInArrow(sign, "doc_id bigint, n bigint, h1 bigint, h2 bigint, " + ", ".join(f"{x} bigint" for x in _SKETCH))
+
+
+def _marks(ids: DataFrame) -> tuple[int, np.ndarray]:
+    """Bits set for the hashed ids: a filter of ``FILTER_BITS`` at most that knows all of them, and takes some others for them."""
+    size = min(FILTER_BITS, 1 << max(10, (16 * ids.count()).bit_length()))
+    at = F.pmod(F.xxhash64("node"), F.lit(size))
+    words = ids.select(F.floor(at / 32).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int")).alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(size // 32, np.uint32)
+    for r in words.toLocalIterator():
+        out[r["w"]] = r["bits"]
+    return size, out
+
+
+def _marked(bits: np.ndarray, at: pa.Array) -> np.ndarray:
+    at = at.to_numpy(zero_copy_only=False)
+    return (bits[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
+
+
+def keyed(docs: DataFrame, copies: DataFrame, rule: Rule) -> DataFrame:
+    """``node, keys`` of one row of each set: all rows but those of ``copies(node, h1, h2)``.
+
+    A filter of bounded size tells which rows may be copies; only those are
+    held against the table itself.
+    """
+    size, marks = _marks(copies.select("node"))
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, bits = Words(), shared.value
+        for b in batches:
+            keys, h1, h2, ends = [], [], [], [0]
+            for text in b.column(1).to_pylist():
+                h = shingles(text, seen, rule.words)
+                d = xxhash.xxh3_128_intdigest(h.tobytes())
+                h1.append((d >> 64) - (1 << 63))
+                h2.append((d & (1 << 64) - 1) - (1 << 63))
+                keys.append(keys_of(h, rule).view(np.int64))
                 ends.append(ends[-1] + len(keys[-1]))
-            flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                names=["doc_id", "n", "h1", "h2", "keys"],
-            )
+            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(_marked(bits, b.column(2))), lists], names=["node", "h1", "h2", "maybe", "keys"])
 
-    return _texts(docs).mapInArrow(sign, "doc_id bigint, n bigint, h1 bigint, h2 bigint, keys array<bigint>")
+    rows = _texts(docs).where("doc_id is not null").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(size)))
+    every = materialize(rows.mapInArrow(run, "node bigint, h1 bigint, h2 bigint, maybe boolean, keys array<bigint>").where(F.size("keys") > 0), "keyed")
+    sure = every.where("not maybe").select("node", "keys")
+    return sure.unionByName(every.where("maybe").join(copies, ["node", "h1", "h2"], "left_anti").select("node", "keys"))
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
-    """``node, n, shingles`` of the documents in ``ids(node)``."""
+def sets_of(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
+    """``node, n, shingles`` of the documents in ``ids(node)`` and some others, in one pass without a shuffle."""
+    size, marks = _marks(ids)
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Words()
+        seen, bits = Words(), shared.value
         for b in batches:
-            found = [shingles(t, seen, words).view(np.int64) for t in b.column(1).to_pylist()]
+            b = b.filter(pa.array(_marked(bits, b.column(2))))
+            found = [shingles(t, seen, rule.words).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "n", "shingles"])
 
-    wanted = _texts(docs).join(ids.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    return wanted.mapInArrow(cut, "node bigint, n bigint, shingles array<bigint>")
+    rows = _texts(docs).where("doc_id is not null").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(size)))
+    return materialize(rows.mapInArrow(cut, "node bigint, n bigint, shingles array<bigint>"), "sets")
+
+
+def near(a: str, b: str, rule: Rule) -> Column:
+    """Whether sizes and sketches allow a link between the rows with these suffixes; true of every link."""
+    n = lambda k: F.col(f"n_{k}")
+    differ = sum((F.bit_count(F.col(f"{x}_{a}").bitwiseXOR(F.col(f"{x}_{b}"))) for x in _SKETCH), F.lit(0))
+    return (100 * F.least(n(a), n(b)) >= rule.percent * F.greatest(n(a), n(b))) & ((100 + rule.percent) * differ <= (100 - rule.percent) * (n(a) + n(b)))
+
+
+def _side(rows: DataFrame, k: str, *more: str) -> DataFrame:
+    return rows.select(*more, F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", *_SKETCH)])
+
+
+def lists_of(nodes: DataFrame, n_nodes: int) -> DataFrame:
+    """``key, node, first`` of all lists with two nodes or more, first being the list's smallest node.
+
+    Lists that a hashed 64th of the nodes shows to be long are dealt by node
+    and need their smallest node only; all others meet by key.  Which way a
+    list goes has no bearing on the result.
+    """
+    listed = nodes.select("node", F.explode("keys").alias("key"))
+    drawn = nodes.where(F.pmod(F.xxhash64("node"), F.lit(64)) == 0).select(F.explode("keys").alias("key"))
+    long = drawn.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") >= max(16, n_nodes // (64 * HOT_SHARE)))
+    hot = [(r["key"],) for r in long.orderBy(F.desc("k"), "key").limit(HOT_SHARE).collect()]
+    names = F.broadcast(nodes.sparkSession.createDataFrame(hot, "key bigint"))
+    whole = Window.partitionBy("key")
+    cold = listed.join(names, "key", "left_anti") if hot else listed
+    out = cold.withColumn("first", F.min("node").over(whole)).withColumn("last", F.max("node").over(whole)).where("first < last").select("key", "node", "first")
+    if hot:
+        held = listed.join(names, "key", "left_semi")
+        first = held.groupBy("key").agg(F.min("node").alias("first"))
+        out = out.unionByName(held.join(F.broadcast(first), "key").select("key", "node", "first"))
+    return materialize(out, "members")
+
+
+def shorter(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
+    """``key, node, comp`` with lists of over ``LONGEST`` nodes replaced by their parts.
+
+    Under another seed the members of a list get new keys; linked ones share
+    one of these too, so old and new key together make the parts.
+    """
+    for seed in range(1, SEEDS + 1):
+        long = materialize(members.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > LONGEST), "long")
+        n = long.count()
+        if not n:
+            break
+        sizes = long.agg(F.sum("k")).first()[0]
+        marked = lookup(members, long, ["key"], sizes, "node", "k")
+        inside = marked.where("k is not null").select("key", "node", "comp")
+        sets = sets_of(docs, inside.select("node").distinct(), rule)
+
+        def again(batches: Iterator[pa.RecordBatch], seed=seed) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = [keys_of(np.asarray(x, np.int64).view(np.uint64), rule, seed).view(np.int64) for x in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "more"])
+
+        more = sets.select("node", "shingles").mapInArrow(again, "node bigint, more array<bigint>")
+        parts = inside.join(more, "node").select("key", "node", "comp", F.explode("more").alias("part")).select(F.xxhash64("key", "part").alias("key"), "node", "comp")
+        members = materialize(still_open(marked.where("k is null").select("key", "node", "comp").unionByName(parts.distinct())), "open")
+    return members
+
+
+def still_open(members: DataFrame) -> DataFrame:
+    """``key, node, comp`` of the lists that hold two components or more."""
+    split = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    return members.join(split, "key", "left_semi")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The linked ones of distinct ``pairs(a, b)``; ``a`` may be in many pairs."""
+def confirm(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+    """The linked ones of distinct ``pairs(a, b)``, held against the whole sets; ``a`` may be in many pairs."""
     pairs = materialize(pairs, "pairs")
+    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), rule)
     degree = pairs.groupBy("a").agg(F.count("*").alias("k"))
     left = degree.join(sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a")), "a")
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
-    both = lookup(pairs.join(right, "b"), left, ["a"], pairs.count(), "b", "k", CENTRES)
-    both = both.where(F.col("n_a").isNotNull() & (DEN * F.least("n_a", "n_b") >= NUM * F.greatest("n_a", "n_b")))
+    both = lookup(pairs.join(right, "b"), left, ["a"], pairs.count(), "b", "k", CENTRES).where("n_a is not null")
     both = both.withColumn("i", F.size(F.array_intersect("s_a", "s_b")))
-    return materialize(both.where(DEN * F.col("i") >= NUM * (F.col("n_a") + F.col("n_b") - F.col("i"))).select("a", "b").distinct(), "links")
+    return materialize(both.where(100 * F.col("i") >= rule.percent * (F.col("n_a") + F.col("n_b") - F.col("i"))).select("a", "b").distinct(), "links")
 
 
-def join(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``.
 
     component_id: smallest doc_id reachable by links, itself included.  A null
@@ -192,43 +319,43 @@ def join(docs: DataFrame, words: int = WORDS) -> DataFrame:
     and links nothing itself.  Other columns are not read; an empty table gives
     an empty result.
     """
-    sig = materialize(signatures(docs, words), "sig")
-    nodes = materialize(sig.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "nodes")
-    # one row of each set carries its keys on
-    lone = sig.where(F.size("keys") > 0).join(nodes.select("h1", "h2", F.col("node").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi")
-    listed = lone.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
-    lists = listed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("k")).where("first < last")
-    lists = materialize(lists, "lists")
-    members = lookup(listed, lists.select("key", "first", "k"), ["key"], max(1, lists.agg(F.sum("k")).first()[0] or 0), "node", "k")
-    members = materialize(members.where("first is not null").select("key", "node", "first"), "members")
-
-    sets = materialize(sets_of(docs, members.select("node").distinct(), words), "sets")
-    stars = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    links = confirm(stars, sets)
+    sig = materialize(signatures(docs, rule), "sig")
+    nodes = sig.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", *_SKETCH)])
+    nodes = materialize(nodes, "nodes")
+    n_rows = sig.count()
+    again = nodes.where("copies > 1 and node is not null").select("h1", "h2", F.col("node").alias("kept"), "copies")
+    copies = lookup(sig.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("node"), "h1", "h2"), again, ["h1", "h2"], n_rows, "node", "copies")
+    copies = materialize(copies.where("kept <> node").select("node", "h1", "h2"), "copies")
+    members = lists_of(keyed(docs, copies, rule), nodes.count())
+    slim = nodes.where("node is not null").select("node", "n", *_SKETCH)
+    stars = materialize(members.where("node <> first").groupBy(F.col("first").alias("a"), F.col("node").alias("b")).agg(F.lit(1).alias("one")).select("a", "b"), "stars")
+    centres = stars.groupBy("a").agg(F.count("*").alias("k")).join(_side(slim, "a"), "a")
+    near_stars = lookup(stars.join(_side(slim, "b"), "b"), centres, ["a"], stars.count(), "b", "k").where("n_a is not null").where(near("a", "b", rule))
+    links = confirm(docs, near_stars.select("a", "b").distinct(), rule)
     found = components(links)
-    # lists that still join two components: every pair of theirs that is not yet decided
-    named = members.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    named = materialize(named, "named")
-    open_lists = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    open_members = materialize(named.where("node <> first").join(open_lists, "key", "left_semi").select("key", "node", "comp"), "open")
-    one, two = open_members.select("key", F.col("node").alias("a"), F.col("comp").alias("ca")), open_members.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    rest = one.join(two, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-    more = confirm(rest, sets)
+    # lists that still hold two components: every pair of theirs that is not yet decided
+    named = members.join(found, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"), (F.col("node") == F.col("first")).alias("head"))
+    open_lists = materialize(still_open(named).where("not head").select("key", "node", "comp"), "open")
+    open_lists = shorter(docs, open_lists, rule)
+    rows = open_lists.join(slim, "node")
+    one, two = _side(rows, "a", "key", F.col("comp").alias("c_a")), _side(rows, "b", "key", F.col("comp").alias("c_b"))
+    rest = one.join(two, (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & near("a", "b", rule)).select("a", "b").distinct()
+    more = confirm(docs, rest, rule)
     if more.take(1):
         found = components(links.unionByName(more))
     facts = nodes.join(found, "node", "left").select("h1", "h2", F.coalesce("comp", "node").alias("component"), "copies")
     rows = sig.select("doc_id", "n", F.when(F.col("n") > 0, F.col("h1")).alias("h1"), "h2")
-    out = lookup(rows, facts, ["h1", "h2"], sig.count(), "doc_id", "copies")
+    out = lookup(rows, facts, ["h1", "h2"], n_rows, "doc_id", "copies")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def deduplicate(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """Rows of ``docs`` that stand for their component: that of the smallest doc_id; all columns stay.
 
     Of repeated rows one stays.  A row with a null doc_id goes if its text
     equals that of a row with an id; of equal texts without ids one stays.
     """
-    found = materialize(join(docs, words), "components")
+    found = materialize(join(docs, rule), "components")
     ids = docs.select("doc_id").groupBy("doc_id").agg(F.count("*").alias("k"))
     odd = bool(ids.where("k > 1 or doc_id is null").take(1))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()

@@ -56,7 +56,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents"))
+    return jaccard.join(table(spark, sf_dir, "documents"), jaccard.Rule(percent=90, words=3))
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
