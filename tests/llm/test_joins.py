@@ -64,6 +64,40 @@ def test_components_equal_brute_force(spark, seed, rule):
     assert rows(jaccard.join(docs(spark, texts), rule), "doc_id", "n_shingles", "component_id") == brute(list(enumerate(texts)), rule)
 
 
+def brute_links(pairs, rule):
+    """Links of each document by holding it against every other."""
+    sets = [(i, shingle_set(t, rule.words)) for i, t in pairs]
+    linked = lambda a, b: bool(a & b) and 100 * len(a & b) >= rule.percent * len(a | b)
+    return sorted(((i, sum(i != j and linked(a, b) for j, b in sets)) for i, a in sets), key=repr)
+
+
+@pytest.mark.parametrize("seed,rule,sets,shingles", [(1, THREE, 1024, 1 << 19), (2, FIVE, 2, 1 << 19), (3, jaccard.Rule(60, 2), 1024, 100)])
+def test_link_counts_equal_brute_force(spark, monkeypatch, seed, rule, sets, shingles):
+    monkeypatch.setattr(jaccard, "TILE_SETS", sets)
+    monkeypatch.setattr(jaccard, "TILE_SHINGLES", shingles)
+    texts = corpus(300, seed)
+    random.Random(seed).shuffle(texts)
+    got = jaccard.join(docs(spark, texts), rule, count_links=True)
+    want = brute_links(list(enumerate(texts)), rule)
+    assert max(k for _, k in want) >= 3 and rows(got, "doc_id", "n_links") == want
+    assert rows(got, "doc_id", "n_shingles", "component_id") == brute(list(enumerate(texts)), rule)
+
+
+def test_links_inside_a_component_are_counted(spark):
+    """Three different texts, each linked with both others: the link that the smallest has no part in counts too."""
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*base, *more]) for more in ([], ["x"], ["y"])]
+    assert rows(jaccard.join(docs(spark, texts), THREE, count_links=True), "doc_id", "n_links") == [(0, 2), (1, 2), (2, 2)]
+
+
+def test_links_of_awkward_rows(spark):
+    got = rows(jaccard.join(clashing(awkward(spark)), count_links=True), "doc_id", "n_links")
+    assert got == sorted([(i, 0) for i in (1, 2, 3, 4, 4, None, 5, 6)], key=repr)
+    assert jaccard.join(empty(spark), count_links=True).count() == 0
+    same = spark.createDataFrame([(7, "a b c d", "", "", 1), (None, "A b c d", "", "", 1), (3, "a b  c d", "", "", 1)], DOCS)
+    assert rows(jaccard.join(same, count_links=True), "doc_id", "n_links") == [(3, 1), (7, 1), (None, 0)]
+
+
 def test_long_lists_are_cut_without_loss(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "LONGEST", 3)
     texts = corpus(250, 4)

@@ -15,6 +15,10 @@ against the smallest only; pairs within a component found so are not looked at
 again, the remaining pairs of a list are.  Sketches that differ in more bits than
 linked sets can differ in shingles drop a pair before it is made, and every
 candidate is confirmed on the whole sets, so the links are exact.
+
+Components need no more than that.  A count of all links does: a link joins two
+sets of one component, so within each component all sets of sizes that can link
+are held against each other, tile by tile, and nothing else is.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,6 +52,8 @@ LONGEST, SEEDS = 4096, 2
 FILTER_BITS = 1 << 25
 #: Hot centres whose sets are broadcast for the confirmation, at most.
 CENTRES = 64
+#: Sets and shingles on one side of a tile, about; shingles looked at together in it.
+TILE_SETS, TILE_SHINGLES, TILE_WIDTH = 1024, 1 << 19, 2048
 
 
 @dataclass(frozen=True)
@@ -309,15 +316,88 @@ def confirm(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     return materialize(both.where(100 * F.col("i") >= rule.percent * (F.col("n_a") + F.col("n_b") - F.col("i"))).select("a", "b").distinct(), "links")
 
 
-def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``.
+def size_edges(rule: Rule) -> list[int]:
+    """First sizes of classes such that linked sets are in one class or in neighbouring ones."""
+    edges = [1]
+    while edges[-1] < 1 << 40:
+        edges.append(max(2 * edges[-1], rule.most_partner(edges[-1]) + 1))
+    return edges
+
+
+def _tile(table: pa.Table, percent: int) -> pa.Table:
+    """``node, links`` of a tile: left sets against right ones, or all against all where both sides are one part."""
+    alone = table["lo"][0] == table["hi"][0] and table["p"][0] == table["q"][0]
+    node, ids, right = (table[c].to_numpy() for c in ("node", "ids", "right"))
+    lists = table["shingles"].combine_chunks()
+    flat, size = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy()
+    ends = np.cumsum(size)
+    # a repeated row gives its set again
+    first = {(node[i], flat[ends[i] - size[i] : ends[i]].tobytes()): i for i in reversed(range(len(node)))}
+    kept = np.isin(np.arange(len(node)), list(first.values()))
+    flat, node, ids, right, size = flat[np.repeat(kept, size)], node[kept], ids[kept], right[kept], size[kept].astype(np.int64)
+    _, col, held = np.unique(flat, return_inverse=True, return_counts=True)
+    col = np.where(held > 1, np.cumsum(held > 1) - 1, -1)[col]
+    order = np.argsort(col, kind="stable")
+    col, row = col[order], np.repeat(np.arange(len(node)), size)[order]
+    a, b = (np.arange(len(node)),) * 2 if alone else (np.flatnonzero(~right), np.flatnonzero(right))
+    common = np.zeros((len(a), len(b)))
+    for start in range(0, int(col[-1]) + 1 if len(col) else 0, TILE_WIDTH):
+        lo, hi = np.searchsorted(col, (start, start + TILE_WIDTH))
+        dense = np.zeros((len(node), TILE_WIDTH), np.float32)
+        dense[row[lo:hi], col[lo:hi] - start] = 1
+        common += dense[a] @ dense[b].T
+    common = common.astype(np.int64)
+    linked = (100 * common >= percent * (size[a][:, None] + size[b][None] - common)) & (node[a][:, None] != node[b][None])
+    out = np.zeros(len(node), np.int64)
+    out[a] = linked @ ids[b]
+    if not alone:
+        out[b] = ids[a] @ linked
+    return pa.table({"node": pa.array(node, pa.int64()), "links": pa.array(out, pa.int64())})
+
+
+def links_of(docs: DataFrame, sets: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
+    """``node, links`` of the nodes in ``found(node, comp)``: the ids of all other sets that link with the node's.
+
+    ``sets(node, n, ids)``: size of a node's set and the number of its ids.  Two
+    nodes alone are linked with each other.  Larger components are cut by class
+    of size and hash of the node, and each two parts that can hold a link make
+    a tile; so no component, whatever its size, is dealt to one task.
+    """
+    base = materialize(sets.join(found, "node"), "linked")
+    total = base.groupBy("comp").agg(F.count("*").alias("k"), F.sum("ids").alias("all_ids"))
+    base = materialize(lookup(base, total, ["comp"], base.count(), "node", "k"), "grouped")
+    two = base.where("k = 2").select("node", (F.col("all_ids") - F.col("ids")).alias("links"))
+    edges = size_edges(rule)
+    cls = lambda n: sum(((F.expr(n) >= e).cast("int") for e in edges[1:]), F.lit(0))
+    low, high = f"({rule.percent} * n + 99) div 100", f"100 * n div {rule.percent}"
+    many = base.where("k > 2").select("comp", "node", "n", "ids", cls("n").alias("c"), cls(low).alias("c_lo"), cls(high).alias("c_hi"))
+    many = materialize(many, "many")
+    parts = F.greatest(F.ceil(F.count("*") / TILE_SETS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")
+    size = materialize(many.groupBy("comp", "c").agg(F.count("*").alias("k"), parts.alias("parts")), "parts")
+    beside = lambda step, name: size.select("comp", (F.col("c") + step).alias("c"), F.col("parts").alias(name))
+    facts = size.join(beside(-1, "above"), ["comp", "c"], "left").join(beside(1, "below"), ["comp", "c"], "left")
+    placed = lookup(many, facts, ["comp", "c"], many.count(), "node", "k").withColumn("part", F.expr("cast(pmod(xxhash64(node), parts) as int)"))
+    tiles = F.expr("""explode(concat(
+        transform(sequence(0, parts - 1), q -> struct(c as lo, c as hi, least(part, q) as p, greatest(part, q) as q, part > q as right)),
+        if(c_hi > c and above is not null, transform(sequence(0, coalesce(above, 1) - 1), q -> struct(c as lo, c + 1 as hi, part as p, q as q, false as right)), array()),
+        if(c_lo < c and below is not null, transform(sequence(0, coalesce(below, 1) - 1), q -> struct(c - 1 as lo, c as hi, q as p, part as q, true as right)), array())))""")
+    placed = placed.select("comp", "node", "n", "ids", tiles.alias("t")).select("comp", "node", "n", "ids", "t.*")
+    percent = rule.percent
+    held = placed.join(sets_of(docs, many.select("node").distinct(), rule), ["node", "n"])
+    counted = held.groupBy("comp", "lo", "hi", "p", "q").applyInArrow(lambda t: _tile(t, percent), "node bigint, links bigint")
+    return materialize(two.unionByName(counted).groupBy("node").agg(F.sum("links").alias("links")), "counts")
+
+
+def join(docs: DataFrame, rule: Rule = Rule(), count_links: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``, and ``n_links`` if asked for.
 
     component_id: smallest doc_id reachable by links, itself included.  A null
     text or one without words has an empty set and stands alone.  Rows with
     equal sets are linked; a repeated row gives its row again.  A row with a
     null doc_id gets the component of its equals, null where there are none,
-    and links nothing itself.  Other columns are not read; an empty table gives
-    an empty result.
+    and links nothing itself.  n_links: other doc_ids whose sets link with the
+    row's, those of equal sets included; an id with several texts counts with
+    each.  Other columns are not read; an empty table gives an empty result.
     """
     sig = materialize(signatures(docs, rule), "sig")
     nodes = sig.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", *_SKETCH)])
@@ -343,10 +423,17 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     more = confirm(docs, rest, rule)
     if more.take(1):
         found = components(links.unionByName(more))
-    facts = nodes.join(found, "node", "left").select("h1", "h2", F.coalesce("comp", "node").alias("component"), "copies")
+    more_facts, more_columns = [], []
+    if count_links:
+        ids = sig.where("n > 0 and doc_id is not null").select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").agg(F.count("*").alias("ids"))
+        nodes = materialize(nodes.join(ids, ["h1", "h2"], "left"), "nodes")
+        found = found.join(links_of(docs, nodes.where("node is not null").select("node", "n", "ids"), found, rule), "node", "left")
+        more_facts = [(F.col("ids") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")]
+        more_columns = [F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).alias("n_links")]
+    facts = nodes.join(found, "node", "left").select("h1", "h2", F.coalesce("comp", "node").alias("component"), "copies", *more_facts)
     rows = sig.select("doc_id", "n", F.when(F.col("n") > 0, F.col("h1")).alias("h1"), "h2")
     out = lookup(rows, facts, ["h1", "h2"], n_rows, "doc_id", "copies")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), *more_columns)
 
 
 def deduplicate(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:

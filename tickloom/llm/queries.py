@@ -59,6 +59,11 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), jaccard.Rule(percent=90, words=3))
 
 
+def op9_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same join with the number of links of each document, which the oracle of the other does not have."""
+    return jaccard.join(table(spark, sf_dir, "documents"), jaccard.Rule(percent=90, words=3), count_links=True)
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.measure(media.encode(table(spark, sf_dir, "documents")))
 
@@ -66,7 +71,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     every = (
         op1_decontamination, op2_language_id, op3_pii, op4_url_filter, op5_token_counts,
-        op6_quality_resampling, op7_packing, op8_warc, op9_jaccard_join, op10_media_columns,
+        op6_quality_resampling, op7_packing, op8_warc, op9_jaccard_join, op9_jaccard_links, op10_media_columns,
     )
     return {f.__name__: f for f in every}
 
