@@ -1,8 +1,11 @@
+import os
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tickloom.functions import kernels
 from tickloom.operators import cleaning
 
@@ -27,6 +30,31 @@ def test_single_spike_is_found_and_counted(spark):
     assert counts["n"] == 150 and counts["is_outlier"] >= 1
 
 
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_counts_hold_rows_that_only_the_wavelet_flags(spark):
+    of = lambda name: entry.queries()[name](spark, DATA).toPandas().set_index("order_key")
+    t = entry.ticks(spark, DATA).toPandas().sort_values(["symbol", "ts", "order_key"]).set_index("order_key")
+    t = t.join(of("robust_zscore")[["z_score"]]).join(of("price_change")[["pct"]])
+    smooth = t.groupby("symbol")["price"].transform(lambda x: kernels.smooth_detail(x.to_numpy()) if len(x) > 100 else x)
+    t["wavelet"] = (((t["price"] - smooth) / t["price"]).abs() > 0.005) & ((t["z_score"].abs() > 2.1) | (t["pct"].abs() > 0.8))
+    t["any"] = t["wavelet"]
+    for name in ("flag_zscore", "flag_extreme", "flag_isolated_stat", "flag_isolated_local", "flag_reversal"):
+        t["any"] |= of(name).iloc[:, 0] == 1
+    want = t.groupby("symbol").agg(n=("price", "size"), wavelet_outlier=("wavelet", "sum"), is_outlier=("any", "sum"))
+    got = entry.queries()["outlier_counts_all"](spark, DATA).toPandas().set_index("symbol")
+    assert want["wavelet_outlier"].sum() > 0 and (got[list(want.columns)].sort_index() == want.sort_index()).all(axis=None)
+
+
+def test_zero_prices_are_counted(spark):
+    prices = [100 + 0.01 * (i % 7) for i in range(150)]
+    prices[75] = 0.0
+    got = cleaning.outlier_counts(cleaning.flag_outliers(made(spark, prices))).first()
+    assert got["n"] == 150 and got["is_outlier"] >= 1
+
+
 def test_reversal_marks_its_span(spark):
     got = flagged(spark, [100.0] * 10 + [102.0, 99.0] + [100.0] * 10)
     assert got["reversal_outlier"][9] and got["reversal_outlier"][10] and not got["reversal_outlier"][3]

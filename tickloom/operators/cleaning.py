@@ -17,6 +17,11 @@ WAVELET_SHARE, WAVELET_PCT, WAVELET_ROWS = 0.005, 0.8, 100
 FLAGS = ("zscore_outlier", "extreme_outlier", "isolated_outlier", "wavelet_outlier", "reversal_outlier")
 
 
+def _over(num: Column, den: Column) -> Column:
+    """``ieee_div``, and missing where the divisor is."""
+    return F.when(den.isNotNull(), ieee_div(num, den))
+
+
 def market_hours(df: DataFrame, ts: str = "ts") -> DataFrame:
     """Rows from 09:30 up to, not including, 16:00."""
     minute = F.hour(ts) * 60 + F.minute(ts)
@@ -26,13 +31,13 @@ def market_hours(df: DataFrame, ts: str = "ts") -> DataFrame:
 def default_volatility(df: DataFrame, s: TickSchema = TICKS) -> DataFrame:
     """Mean over 20 rows of the absolute relative price change, in percent."""
     o = s.order()
-    change = F.abs(F.col(s.price) / F.lag(s.price).over(o) - 1)
+    change = F.abs(_over(F.col(s.price), F.lag(s.price).over(o)) - 1)
     return df.withColumn("_change", change).withColumn(s.volatility, F.avg("_change").over(trailing(o, 20)) * 100).drop("_change")
 
 
 def price_change(df: DataFrame, s: TickSchema = TICKS, least_pct: float = 0.05) -> DataFrame:
     o = s.order()
-    df = df.withColumn("change", F.col(s.price) - F.lag(s.price).over(o)).withColumn("pct", F.col("change") / F.lag(s.price).over(o) * 100)
+    df = df.withColumn("change", F.col(s.price) - F.lag(s.price).over(o)).withColumn("pct", _over(F.col("change"), F.lag(s.price).over(o)) * 100)
     return df.withColumn("significant", holds(F.abs("pct") >= least_pct))
 
 
@@ -69,7 +74,7 @@ def scored(df: DataFrame, s: TickSchema = TICKS, window: int = 50, least_pct: fl
 def flag_zscore(df: DataFrame, s: TickSchema = TICKS, threshold: float = 3.0) -> DataFrame:
     """A large score on a significant change, unless one of the next three prices is close."""
     o, price = s.order(), F.col(s.price)
-    like = [holds(F.abs(F.lead(s.price, k).over(o) - price) / price < SIMILAR) for k in (1, 2, 3)]
+    like = [holds(_over(F.abs(F.lead(s.price, k).over(o) - price), price) < SIMILAR) for k in (1, 2, 3)]
     return df.withColumn("zscore_outlier", holds(F.abs("z_score") > threshold) & F.col("significant") & ~(like[0] | like[1] | like[2]))
 
 
@@ -85,14 +90,14 @@ def flag_isolated_stat(df: DataFrame, s: TickSchema = TICKS) -> DataFrame:
 def flag_isolated_local(df: DataFrame, s: TickSchema = TICKS) -> DataFrame:
     """Stable prices on both sides of a price that is off both their medians."""
     o, price = s.order(), F.col(s.price)
-    df = df.withColumn("_calm", holds(F.abs(price / F.lag(s.price).over(o) - 1) < STABLE).cast("int"))
+    df = df.withColumn("_calm", holds(F.abs(_over(price, F.lag(s.price).over(o)) - 1) < STABLE).cast("int"))
     side = lambda f: [F.coalesce(f("_calm", k).over(o), F.lit(0)) for k in (1, 2, 3, 4, 5)]
     most = lambda c: F.greatest(*[c[i] + c[i + 1] + c[i + 2] for i in range(3)])
     near = lambda f: median_of_three(*[f(s.price, k).over(o) for k in (1, 2, 3)])
     before, after = near(F.lag), near(F.lead)
     n, at = F.count("*").over(Window.partitionBy(s.symbol)), F.row_number().over(o) - 1
     inside = (at >= 5) & (at < n - 5)
-    off = (F.abs(price - before) / before > DEVIATES) & (F.abs(price - after) / after > DEVIATES)
+    off = (_over(F.abs(price - before), before) > DEVIATES) & (_over(F.abs(price - after), after) > DEVIATES)
     return df.withColumn("isolated_local", holds(inside & (most(side(F.lag)) >= 2) & (most(side(F.lead)) >= 2) & off)).drop("_calm")
 
 
@@ -100,7 +105,7 @@ def flag_reversal(df: DataFrame, s: TickSchema = TICKS) -> DataFrame:
     """A move of over half a percent that turns back by a third within two ticks marks all rows it spans."""
     o, price = s.order(), F.col(s.price)
     n, at = F.count("*").over(Window.partitionBy(s.symbol)), F.row_number().over(o) - 1
-    move = [(F.lead(s.price, j + 1).over(o) - price) / price * 100 for j in range(3)]
+    move = [_over(F.lead(s.price, j + 1).over(o) - price, price) * 100 for j in range(3)]
     back = [holds((move[j] * move[0] < 0) & (F.abs(move[j]) > 0.3 * F.abs(move[0]))) for j in (1, 2)]
     inside = holds((at >= 3) & (at < n - 3) & (F.abs(move[0]) > 0.5))
     df = df.withColumn("_span", F.when(inside & back[0], 2).when(inside & back[1], 3))

@@ -58,9 +58,15 @@ _flag("flag_wavelet", cleaning.flag_wavelet, "wavelet_outlier")
 
 @query
 def outlier_counts(spark, d):
+    """The four flags that SQL can express; ``outlier_counts_all`` has all five."""
     return rounded(cleaning.outlier_counts(cleaning.flag_outliers(ticks(spark, d), wavelet=False)).drop("wavelet_outlier"))
 
 
+@query
+def outlier_counts_all(spark, d):
+    return rounded(cleaning.outlier_counts(cleaning.flag_outliers(ticks(spark, d))))
+
+
 @query
 def seconds_from_open(spark, d):
     return rounded(cleaning.seconds_from_open(ticks(spark, d)).select(*K, "seconds_from_open"))
