@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import kernels
 from tickloom.operators import calendar, features, infotheory, regimes, runs, simulate, topology, volatility
+from tickloom.plans import queries
 
 from test_series import made
 
@@ -165,3 +166,30 @@ def test_calendar_rows_carry_date_and_time(spark):
 
     got = __spark_entry__.queries()["calendar_rows"](spark, "").orderBy("row").collect()
     assert [(r["date"], r["time"], r["impact"], r["event"]) for r in got] == [("2025-01-03", "8:30am", "High", "Jobs"), ("2025-01-03", "8:30am", "Medium", "Rate"), ("2025-01-04", "N/A", "N/A", "Sales")]
+
+
+def test_all_components_of_a_vector_count(spark, monkeypatch):
+    """Classes that differ in component 40 only are told apart by the registered queries."""
+    rng = np.random.default_rng(3)
+    data = []
+    for i in range(240):
+        v, label = rng.normal(size=64), int(rng.integers(0, 4))
+        v[39] += 40 * label
+        data.append((i, i / 240, v.tolist(), 0.0, label))
+    given = spark.createDataFrame(data, "pos long, t double, v array<double>, y double, label int")
+    monkeypatch.setattr(queries, "points", lambda s, d: given)
+    label = {r[0]: r[4] for r in data}
+    near = queries.QUERIES["nearest_centroid_all"](spark, "").collect()
+    assert all(r["regime"] == label[r["pos"]] for r in near)
+    extended = queries.QUERIES["extend_regimes"](spark, "").collect()
+    assert np.mean([r["regime"] == label[r["pos"]] for r in extended]) > 0.9
+
+
+def test_mixture_of_many_dimensions_has_classes(spark):
+    rng = np.random.default_rng(4)
+    data = [(i, *(rng.normal(size=64) + 4 * (i % 2)).tolist()) for i in range(600)]
+    names = [f"f{i}" for i in range(64)]
+    df = spark.createDataFrame(data, ["pos", *names])
+    got = regimes.gmm_regimes(df, names, "pos", k=2, restarts=1).collect()
+    share = np.mean([r["regime"] == r["pos"] % 2 for r in got])
+    assert max(share, 1 - share) > 0.95

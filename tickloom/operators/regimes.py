@@ -13,6 +13,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Unit of length of the mixture.  Spark adds a fixed 2e-16 to each density, which drowns the densities of many
+#: dimensions and makes all classes alike; in a smaller unit they are larger, and the mixture is the same.
+UNIT = math.exp(-2)
+
+
 def robust_scale(df: DataFrame, names: list[str]) -> DataFrame:
     """Less the median, over the interquartile range (1 where that is 0)."""
     stats = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}") for c in names])
@@ -45,8 +50,8 @@ def gmm_regimes(df: DataFrame, names: list[str], pos: str, k: int = 4, time_weig
     times one and the share of switches."""
     stats = df.agg(F.count("*").alias("n"), *[f(c).alias(f"{p}_{c}") for c in names for p, f in (("m", F.avg), ("d", F.stddev_pop))]).first()
     n = stats["n"]
-    scaled = [((F.col(c) - stats[f"m_{c}"]) / (stats[f"d_{c}"] or 1.0) * (1 - time_weight)).alias(c) for c in names]
-    points = df.select(F.col(pos).alias("pos"), *scaled, (F.col(pos) / max(n, 1) * time_weight).alias("_time"))
+    scaled = [((F.col(c) - stats[f"m_{c}"]) / (stats[f"d_{c}"] or 1.0) * (1 - time_weight) * UNIT).alias(c) for c in names]
+    points = df.select(F.col(pos).alias("pos"), *scaled, (F.col(pos) / max(n, 1) * time_weight * UNIT).alias("_time"))
     points = VectorAssembler(inputCols=[*names, "_time"], outputCol="features").transform(points).cache()
     d, best = len(names) + 1, None
     free = k * (d + d * (d + 1) / 2) + k - 1
@@ -55,7 +60,7 @@ def gmm_regimes(df: DataFrame, names: list[str], pos: str, k: int = 4, time_weig
         labels = model.transform(points).select("pos", F.col("prediction").alias("regime"), F.array_max(vector_to_array("probability")).alias("stability"))
         before = F.lag("regime").over(Window.partitionBy().orderBy("pos"))
         switches = labels.select((F.col("regime") != before).cast("int").alias("s")).agg(F.sum("s")).first()[0] or 0
-        bic = (free * math.log(max(n, 2)) - 2 * model.summary.logLikelihood) * (1 + switches / max(n, 1))
+        bic = (free * math.log(max(n, 2)) - 2 * (model.summary.logLikelihood + n * d * math.log(UNIT))) * (1 + switches / max(n, 1))
         if best is None or bic < best[0]:
             best = bic, labels
     return best[1]

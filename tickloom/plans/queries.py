@@ -318,28 +318,42 @@ def min_run_length(spark, d):
 QUERIES["robust_scale"] = lambda s, d: rounded(regimes.robust_scale(feature_rows(s, d), FEATURES))
 
 
-def _vector_rows(spark, d):
-    return points(spark, d).select("pos", "label", *[F.col("v")[i].cast("double").alias(f"f{i}") for i in range(8)])
+def _vector_rows(spark, d, width=None):
+    """``pos, label, f0..`` with all components of the vectors, or the first ``width``, and the names of the latter columns.
 
+    The rows pass an identity, or Spark would work out the constraints of so many aliases, which doubles with each.
+    """
+    p = points(spark, d)
+    names = [f"f{i}" for i in range(width or p.agg(F.max(F.size("v"))).first()[0] or 0)]
+    rows = p.select("pos", "label", *[F.get("v", F.lit(i)).cast("double").alias(c) for i, c in enumerate(names)])
+    return rows.mapInArrow(lambda batches: batches, rows.schema), names
 
-VECTOR = [f"f{i}" for i in range(8)]
+
+def _nearest(p, names):
+    return rounded(regimes.nearest_centroid(p, regimes.centroids(p.withColumnRenamed("label", "regime"), names), names, "pos"))
 
 
 @query
 def nearest_centroid(spark, d):
-    p = _vector_rows(spark, d)
-    return rounded(regimes.nearest_centroid(p, regimes.centroids(p.withColumnRenamed("label", "regime"), VECTOR), VECTOR, "pos"))
+    """Over the eight components of the SQL; ``nearest_centroid_all`` has the whole vectors."""
+    return _nearest(*_vector_rows(spark, d, 8))
+
+
+@query
+def nearest_centroid_all(spark, d):
+    return _nearest(*_vector_rows(spark, d))
 
 
 @query
 def gmm_regimes(spark, d):
-    return rounded(regimes.gmm_regimes(_vector_rows(spark, d), VECTOR, "pos", restarts=2))
+    p, names = _vector_rows(spark, d)
+    return rounded(regimes.gmm_regimes(p, names, "pos", restarts=2))
 
 
 @query
 def extend_regimes(spark, d):
-    p = _vector_rows(spark, d).withColumn("regime", F.col("label") % 4)
-    return rounded(regimes.extend_regimes(p, VECTOR, "pos")[0])
+    p, names = _vector_rows(spark, d)
+    return rounded(regimes.extend_regimes(p.withColumn("regime", F.col("label") % 4), names, "pos")[0])
 
 
 # simulation and calendar
