@@ -1,3 +1,4 @@
+import inspect
 import math
 
 import numpy as np
@@ -193,3 +194,19 @@ def test_mixture_of_many_dimensions_has_classes(spark):
     got = regimes.gmm_regimes(df, names, "pos", k=2, restarts=1).collect()
     share = np.mean([r["regime"] == r["pos"] % 2 for r in got])
     assert max(share, 1 - share) > 0.95
+
+
+@pytest.mark.parametrize("name,module", [("path_betti", topology), ("min_run_length", runs), ("gmm_regimes", regimes)])
+def test_queries_run_with_the_defaults_of_their_operators(spark, monkeypatch, name, module):
+    operator, given = getattr(module, name), {}
+
+    def noted(*args, **more):
+        given.update(inspect.signature(operator).bind(*args, **more).arguments)
+        return operator(*args, **more)
+
+    monkeypatch.setattr(module, name, noted)
+    out = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    plain = {k: p.default for k, p in inspect.signature(operator).parameters.items() if p.default is not p.empty}
+    assert given and all(given.get(k, v) == v for k, v in plain.items())
+    if name == "path_betti":
+        assert {r["dim"] for r in out.select("dim").distinct().collect()} == {0, 1, 2}

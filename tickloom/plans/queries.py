@@ -229,7 +229,7 @@ QUERIES["path_counts"] = lambda s, d: rounded(topology.path_counts(_edges(s, d),
 QUERIES["top_paths"] = lambda s, d: rounded(topology.top_paths(_edges(s, d), points(s, d), 20).withColumn("volatile", F.col("volatile").cast("bigint")))
 QUERIES["directed_triangles"] = lambda s, d: rounded(topology.directed_triangles(_edges(s, d)))
 QUERIES["network_stats"] = lambda s, d: rounded(topology.network_stats(_edges(s, d)))
-QUERIES["path_betti"] = lambda s, d: rounded(topology.path_betti(_edges(s, d), 1))
+QUERIES["path_betti"] = lambda s, d: rounded(topology.path_betti(_edges(s, d)))
 QUERIES["h0_persistence"] = lambda s, d: rounded(topology.h0_persistence(_dist(s, d)))
 QUERIES["window_persistence"] = lambda s, d: rounded(_diagram(s, d))
 QUERIES["window_components"] = lambda s, d: rounded(topology.window_components(_dist(s, d), EPSILON))
@@ -312,7 +312,7 @@ def rsip_smooth(spark, d):
 def min_run_length(spark, d):
     counts = runs.regime_runs(labels(spark, d)).groupBy("length").agg(F.count("*").alias("n")).collect()
     lengths = [r["length"] for r in sorted(counts, key=lambda r: r["length"]) for _ in range(r["n"])]
-    return spark.createDataFrame([(runs.min_run_length(lengths, draws=200),)], "least int")
+    return spark.createDataFrame([(runs.min_run_length(lengths),)], "least int")
 
 
 QUERIES["robust_scale"] = lambda s, d: rounded(regimes.robust_scale(feature_rows(s, d), FEATURES))
@@ -347,7 +347,7 @@ def nearest_centroid_all(spark, d):
 @query
 def gmm_regimes(spark, d):
     p, names = _vector_rows(spark, d)
-    return rounded(regimes.gmm_regimes(p, names, "pos", restarts=2))
+    return rounded(regimes.gmm_regimes(p, names, "pos"))
 
 
 @query
