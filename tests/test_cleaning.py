@@ -1,8 +1,10 @@
 import os
 from datetime import datetime, timedelta
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -44,7 +46,7 @@ def test_counts_hold_rows_that_only_the_wavelet_flags(spark):
     for name in ("flag_zscore", "flag_extreme", "flag_isolated_stat", "flag_isolated_local", "flag_reversal"):
         t["any"] |= of(name).iloc[:, 0] == 1
     want = t.groupby("symbol").agg(n=("price", "size"), wavelet_outlier=("wavelet", "sum"), is_outlier=("any", "sum"))
-    got = entry.queries()["outlier_counts_all"](spark, DATA).toPandas().set_index("symbol")
+    got = entry.queries()["outlier_counts"](spark, DATA).toPandas().set_index("symbol")
     assert want["wavelet_outlier"].sum() > 0 and (got[list(want.columns)].sort_index() == want.sort_index()).all(axis=None)
 
 
@@ -55,6 +57,27 @@ def test_zero_prices_are_counted(spark):
     assert got["n"] == 150 and got["is_outlier"] >= 1
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+@pytest.mark.parametrize("name", ["robust_zscore", "flag_zscore", "flag_reversal", "outlier_counts_sql", "flag_timestamp_group", "flag_velocity", "collapse_suspicious_cluster", "vwap", "log_returns", "all_features", "null_profile"])
+def test_zero_prices_and_volumes_equal_oracle(spark, tmp_path, name):
+    """Zero prices, alone and in a row, and zero volumes in the middle of every symbol."""
+    e = spark.read.parquet(f"{DATA}/events.parquet")
+    at = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
+    e = e.withColumn("_at", at).withColumn("value", F.when(F.col("_at").isin(1, 40, 41, 90, 120), 0.0).otherwise(F.col("value")))
+    e = e.withColumn("props", F.when(F.col("_at").between(60, 75), '{"k": -1}').otherwise(F.col("props"))).drop("_at")
+    e.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    a, b = entry.queries()[name](spark, str(tmp_path)).toPandas(), con.execute(entry.oracle_sql()[name]).df()
+    order = [c for c in sorted(a.columns) if a[c].dtype.kind != "f"] + [c for c in sorted(a.columns) if a[c].dtype.kind == "f"]
+    a, b = (x[order].sort_values(order).reset_index(drop=True) for x in (a, b))
+    for c in order:
+        if a[c].dtype.kind == "f":
+            np.testing.assert_allclose(a[c].to_numpy(float), b[c].to_numpy(float), atol=2e-6, err_msg=c)
+        else:
+            assert a[c].astype(str).tolist() == b[c].astype(str).tolist(), c
+
+
 def test_reversal_marks_its_span(spark):
     got = flagged(spark, [100.0] * 10 + [102.0, 99.0] + [100.0] * 10)
     assert got["reversal_outlier"][9] and got["reversal_outlier"][10] and not got["reversal_outlier"][3]

@@ -116,7 +116,6 @@ def test_run_statistics(spark):
     p = {(r["src"], r["dst"]): r["p"] for r in runs.transition_matrix(x).collect()}
     assert p[65, 65] == pytest.approx(1 / 3) and sum(v for (a, _), v in p.items() if a == 65) == pytest.approx(1)
     assert runs.regime_runs(x).agg(F.sum("length")).first()[0] == 5
-    assert runs.min_run_length([1, 2, 3]) >= 3 and runs.min_run_length([]) == 3
 
 
 def test_js_distance_matches_kernel(spark):
@@ -210,3 +209,28 @@ def test_queries_run_with_the_defaults_of_their_operators(spark, monkeypatch, na
     assert given and all(given.get(k, v) == v for k, v in plain.items())
     if name == "path_betti":
         assert {r["dim"] for r in out.select("dim").distinct().collect()} == {0, 1, 2}
+
+
+def test_min_run_length_equals_permutations(spark):
+    """Run lengths of shuffled labels, gathered over many draws; two series of uneven labels."""
+    rng = np.random.default_rng(4)
+    series = {"a": np.repeat([0, 1], [260, 40]), "b": np.repeat([0, 1, 2], [30, 30, 30])}
+    found = []
+    for x in series.values():
+        for _ in range(1000):
+            y = rng.permutation(x)
+            found += np.diff(np.append(np.flatnonzero(np.append(True, y[1:] != y[:-1])), len(y))).tolist()
+    want = max(sorted(found)[int(0.95 * len(found))] + 1, 3)
+    rows = [(k, i, int(v)) for k, x in series.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "series string, pos int, regime int")
+    assert runs.min_run_length(df) == want > 3
+    assert runs.min_run_length(df.where("false")) == 3
+    alone = spark.createDataFrame([("a", i, 1) for i in range(10_000)], "series string, pos int, regime int")
+    assert runs.min_run_length(alone) == 10_001
+
+
+def test_kl_weight_of_a_row_is_that_of_its_stretch(spark):
+    df = spark.createDataFrame([(i, 2.0) for i in range(30)], "row_id long, x double")
+    kl = spark.createDataFrame([(10, 1.0), (20, 3.0)], "pos long, kl double")
+    got = {r["row_id"]: r["x_kl_weighted"] for r in infotheory.kl_weighted(df, {"x": kl}, "row_id", 10).collect()}
+    assert got[5] == 2.0 and got[19] == pytest.approx(2 * (1 + math.log(2))) and got[20] == pytest.approx(2 * (1 + math.log(4)))

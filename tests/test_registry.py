@@ -27,7 +27,7 @@ def test_entry(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-@pytest.mark.parametrize("name", ["flag_zscore", "outlier_counts", "mle_vol", "garman_klass", "mutual_info", "transfer_entropy", "epsilon_graph", "smooth_persistence_pass", "nearest_centroid", "quote_spread"])
+@pytest.mark.parametrize("name", ["flag_zscore", "outlier_counts_sql", "min_run_length", "mle_vol", "garman_klass", "mutual_info", "transfer_entropy", "epsilon_graph", "smooth_persistence_pass", "nearest_centroid", "quote_spread"])
 def test_query_equals_oracle(spark, name):
     con = duckdb.connect()
     for f in sorted(os.listdir(DATA)):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Window, WindowSpec
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -20,5 +21,9 @@ class TickSchema:
         """Rows of a symbol in time; the order key makes the order total."""
         return Window.partitionBy(self.symbol).orderBy(self.ts, self.order_key)
 
+    def reverse(self) -> WindowSpec:
+        """The same rows from the last to the first."""
+        return Window.partitionBy(self.symbol).orderBy(F.desc(self.ts), F.desc(self.order_key))
+
 
 TICKS = TickSchema()

@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 
 def ieee_div(num: Column, den: Column) -> Column:
-    """num/den with signed infinity for a zero divisor and null for 0/0."""
+    """num/den as floating-point numbers have it: signed infinity for a zero divisor, null for 0/0 and where either is missing."""
     inf = float("inf")
-    return F.when(den != 0, num / den).when(num > 0, F.lit(inf)).when(num < 0, F.lit(-inf))
+    return F.when(den != 0, num / den).when((den == 0) & (num > 0), F.lit(inf)).when((den == 0) & (num < 0), F.lit(-inf))
+
+
+def finite(x: Column) -> Column:
+    """``x``, null where it is infinite or not a number; rolling statistics take such values as missing."""
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
 def holds(predicate: Column) -> Column:
@@ -47,8 +52,9 @@ def forward_fill(x: Column, order: WindowSpec) -> Column:
     return F.last(x, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def backward_fill(x: Column, order: WindowSpec) -> Column:
-    return F.first(x, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+def backward_fill(x: Column, reverse: WindowSpec) -> Column:
+    """The next value, from a running frame over the falling order: a frame to the end of the rows would be scanned again for each row."""
+    return forward_fill(x, reverse)
 
 
 def positioned(df: DataFrame, order: WindowSpec, name: str = "pos") -> DataFrame:

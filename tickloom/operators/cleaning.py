@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.kernels import smooth_detail
 from tickloom.functions.schema import TICKS, TickSchema
-from tickloom.functions.series import centred, clip, holds, ieee_div, median_of_three, rolled, seconds_between, trailing, with_runs
+from tickloom.functions.series import centred, clip, finite, holds, ieee_div, median_of_three, rolled, seconds_between, trailing, with_runs
 
 # Fixed values of the cleaning rules.
 MAD_SCALE = 1.4826
@@ -17,11 +18,6 @@ WAVELET_SHARE, WAVELET_PCT, WAVELET_ROWS = 0.005, 0.8, 100
 FLAGS = ("zscore_outlier", "extreme_outlier", "isolated_outlier", "wavelet_outlier", "reversal_outlier")
 
 
-def _over(num: Column, den: Column) -> Column:
-    """``ieee_div``, and missing where the divisor is."""
-    return F.when(den.isNotNull(), ieee_div(num, den))
-
-
 def market_hours(df: DataFrame, ts: str = "ts") -> DataFrame:
     """Rows from 09:30 up to, not including, 16:00."""
     minute = F.hour(ts) * 60 + F.minute(ts)
@@ -29,15 +25,15 @@ def market_hours(df: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 def default_volatility(df: DataFrame, s: TickSchema = TICKS) -> DataFrame:
-    """Mean over 20 rows of the absolute relative price change, in percent."""
+    """Mean over 20 rows of the absolute relative price change, in percent; a change from a price of 0 is missing."""
     o = s.order()
-    change = F.abs(_over(F.col(s.price), F.lag(s.price).over(o)) - 1)
+    change = F.abs(finite(ieee_div(F.col(s.price), F.lag(s.price).over(o))) - 1)
     return df.withColumn("_change", change).withColumn(s.volatility, F.avg("_change").over(trailing(o, 20)) * 100).drop("_change")
 
 
 def price_change(df: DataFrame, s: TickSchema = TICKS, least_pct: float = 0.05) -> DataFrame:
     o = s.order()
-    df = df.withColumn("change", F.col(s.price) - F.lag(s.price).over(o)).withColumn("pct", _over(F.col("change"), F.lag(s.price).over(o)) * 100)
+    df = df.withColumn("change", F.col(s.price) - F.lag(s.price).over(o)).withColumn("pct", ieee_div(F.col("change"), F.lag(s.price).over(o)) * 100)
     return df.withColumn("significant", holds(F.abs("pct") >= least_pct))
 
 
@@ -74,7 +70,7 @@ def scored(df: DataFrame, s: TickSchema = TICKS, window: int = 50, least_pct: fl
 def flag_zscore(df: DataFrame, s: TickSchema = TICKS, threshold: float = 3.0) -> DataFrame:
     """A large score on a significant change, unless one of the next three prices is close."""
     o, price = s.order(), F.col(s.price)
-    like = [holds(_over(F.abs(F.lead(s.price, k).over(o) - price), price) < SIMILAR) for k in (1, 2, 3)]
+    like = [holds(ieee_div(F.abs(F.lead(s.price, k).over(o) - price), price) < SIMILAR) for k in (1, 2, 3)]
     return df.withColumn("zscore_outlier", holds(F.abs("z_score") > threshold) & F.col("significant") & ~(like[0] | like[1] | like[2]))
 
 
@@ -90,14 +86,14 @@ def flag_isolated_stat(df: DataFrame, s: TickSchema = TICKS) -> DataFrame:
 def flag_isolated_local(df: DataFrame, s: TickSchema = TICKS) -> DataFrame:
     """Stable prices on both sides of a price that is off both their medians."""
     o, price = s.order(), F.col(s.price)
-    df = df.withColumn("_calm", holds(F.abs(_over(price, F.lag(s.price).over(o)) - 1) < STABLE).cast("int"))
+    df = df.withColumn("_calm", holds(F.abs(ieee_div(price, F.lag(s.price).over(o)) - 1) < STABLE).cast("int"))
     side = lambda f: [F.coalesce(f("_calm", k).over(o), F.lit(0)) for k in (1, 2, 3, 4, 5)]
     most = lambda c: F.greatest(*[c[i] + c[i + 1] + c[i + 2] for i in range(3)])
     near = lambda f: median_of_three(*[f(s.price, k).over(o) for k in (1, 2, 3)])
     before, after = near(F.lag), near(F.lead)
     n, at = F.count("*").over(Window.partitionBy(s.symbol)), F.row_number().over(o) - 1
     inside = (at >= 5) & (at < n - 5)
-    off = (_over(F.abs(price - before), before) > DEVIATES) & (_over(F.abs(price - after), after) > DEVIATES)
+    off = (ieee_div(F.abs(price - before), before) > DEVIATES) & (ieee_div(F.abs(price - after), after) > DEVIATES)
     return df.withColumn("isolated_local", holds(inside & (most(side(F.lag)) >= 2) & (most(side(F.lead)) >= 2) & off)).drop("_calm")
 
 
@@ -105,7 +101,7 @@ def flag_reversal(df: DataFrame, s: TickSchema = TICKS) -> DataFrame:
     """A move of over half a percent that turns back by a third within two ticks marks all rows it spans."""
     o, price = s.order(), F.col(s.price)
     n, at = F.count("*").over(Window.partitionBy(s.symbol)), F.row_number().over(o) - 1
-    move = [_over(F.lead(s.price, j + 1).over(o) - price, price) * 100 for j in range(3)]
+    move = [ieee_div(F.lead(s.price, j + 1).over(o) - price, price) * 100 for j in range(3)]
     back = [holds((move[j] * move[0] < 0) & (F.abs(move[j]) > 0.3 * F.abs(move[0]))) for j in (1, 2)]
     inside = holds((at >= 3) & (at < n - 3) & (F.abs(move[0]) > 0.5))
     df = df.withColumn("_span", F.when(inside & back[0], 2).when(inside & back[1], 3))
@@ -121,11 +117,12 @@ def flag_wavelet(df: DataFrame, s: TickSchema = TICKS, threshold: float = 3.0) -
         pdf = pdf.sort_values([s.ts, s.order_key])
         price = pdf[s.price].to_numpy()
         smooth = smooth_detail(price) if len(price) > WAVELET_ROWS else price
-        return pd.DataFrame({s.symbol: pdf[s.symbol], s.order_key: pdf[s.order_key], "wavelet_diff": (price - smooth) / price})
+        return pd.DataFrame({s.symbol: pdf[s.symbol], s.order_key: pdf[s.order_key], "wavelet_diff": np.divide(price - smooth, price, where=price != 0, out=np.where(price == smooth, np.nan, np.inf))})
 
     types = dict(df.dtypes)
     schema = f"{s.symbol} {types[s.symbol]}, {s.order_key} {types[s.order_key]}, wavelet_diff double"
-    diff = df.where(F.col(s.price).isNotNull()).select(*keys, s.ts, s.price).groupBy(s.symbol).applyInPandas(rebuilt, schema)
+    diff = df.where(finite(F.col(s.price)).isNotNull()).select(*keys, s.ts, s.price).groupBy(s.symbol).applyInPandas(rebuilt, schema)
+    diff = diff.withColumn("wavelet_diff", F.nanvl("wavelet_diff", F.lit(None).cast("double")))
     unusual = holds(F.abs("z_score") > 0.7 * threshold) | holds(F.abs("pct") > WAVELET_PCT)
     return df.join(diff, keys, "left").withColumn("wavelet_outlier", holds(F.abs("wavelet_diff") > WAVELET_SHARE) & unusual)
 
@@ -152,7 +149,7 @@ def flag_timestamp_group(df: DataFrame, s: TickSchema = TICKS) -> DataFrame:
     """Rows of one time whose prices differ too much; the one with most volume stays clear."""
     same = Window.partitionBy(s.symbol, s.ts)
     low = F.min(s.price).over(same)
-    wide = (F.max(s.price).over(same) - low) / low * 100 > F.when(F.col("seconds_from_open") < 60, 1.0).otherwise(0.5)
+    wide = ieee_div(F.max(s.price).over(same) - low, low) * 100 > F.when(F.col("seconds_from_open") < 60, 1.0).otherwise(0.5)
     first = F.row_number().over(same.orderBy(F.desc(s.volume), s.order_key)) == 1
     return df.withColumn("timestamp_group", holds(wide) & ~first)
 
@@ -160,7 +157,7 @@ def flag_timestamp_group(df: DataFrame, s: TickSchema = TICKS) -> DataFrame:
 def flag_velocity(df: DataFrame, s: TickSchema = TICKS) -> DataFrame:
     """Price change per second beyond a threshold that grows with the volume ratio; stricter in the first two minutes."""
     o = s.order()
-    pct = (F.col(s.price) / F.lag(s.price).over(o) - 1) * 100
+    pct = (ieee_div(F.col(s.price), F.lag(s.price).over(o)) - 1) * 100
     gap = seconds_between(F.lag(s.ts).over(o), F.col(s.ts))
     df = df.withColumn("_pct", pct).withColumn("_gap", gap)
     df = df.withColumn("price_velocity", F.when(F.col("_gap") == 0, 0.0).otherwise(ieee_div(F.col("_pct"), F.col("_gap"))))
@@ -179,7 +176,7 @@ def collapse_clusters(df: DataFrame, s: TickSchema = TICKS, suspicious: str = "i
     run = Window.partitionBy(s.symbol, "_run")
     short = seconds_between(F.min(s.ts).over(run), F.max(s.ts).over(run)) < seconds
     cluster = F.col(suspicious) & (F.count("*").over(run) > rows) & short
-    mean = F.sum(F.col(s.price) * F.col(s.volume)).over(run) / F.sum(s.volume).over(run)
+    mean = ieee_div(F.sum(F.col(s.price) * F.col(s.volume)).over(run), F.sum(s.volume).over(run))
     first = F.row_number().over(run.orderBy(s.ts, s.order_key)) == 1
     df = df.withColumn("_cluster", cluster).withColumn("_mean", F.when(cluster, mean)).withColumn("_first", first)
     kept = F.col("_cluster") & F.col("_first")
@@ -207,4 +204,4 @@ def clean_ticks(df: DataFrame, s: TickSchema = TICKS, window: int = 50, threshol
 
 
 def vwap(df: DataFrame, keys: list[str], s: TickSchema = TICKS) -> DataFrame:
-    return df.groupBy(*keys).agg((F.sum(F.col(s.price) * F.col(s.volume)) / F.sum(s.volume)).alias("vwap"), F.sum(s.volume).alias("volume"))
+    return df.groupBy(*keys).agg(ieee_div(F.sum(F.col(s.price) * F.col(s.volume)), F.sum(s.volume)).alias("vwap"), F.sum(s.volume).alias("volume"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.schema import TICKS, TickSchema
-from tickloom.functions.series import backward_fill, clip, forward_fill, rolled, seconds_between, trailing
+from tickloom.functions.series import backward_fill, clip, finite, forward_fill, ieee_div, rolled, seconds_between, trailing
 
 WINDOWS = (10, 50, 100)
 TINY = 1e-8
@@ -19,7 +19,7 @@ def least_rows(window: int) -> int:
 
 
 def base(df: DataFrame, s: TickSchema = TICKS) -> DataFrame:
-    """Returns, signs, gaps and one-sided volumes that the features are made of."""
+    """Returns, signs, gaps and one-sided volumes that the features are made of; a return from or to a price of 0 is 0, like a first one."""
     o = s.order()
     df = df.withColumn("ret", F.coalesce(F.ln(s.price) - F.ln(F.lag(s.price).over(o)), F.lit(0.0))).withColumn("sign", F.signum("ret"))
     gap = seconds_between(F.lag(s.ts).over(o), F.col(s.ts))
@@ -46,8 +46,9 @@ def price_impact(df: DataFrame, s: TickSchema = TICKS) -> DataFrame:
 
 
 def rs_volatility(df: DataFrame, s: TickSchema = TICKS) -> DataFrame:
-    o = s.order()
-    return df.withColumn("rs_volatility", F.pow(F.ln(F.col(s.price) / F.coalesce(F.lag(s.price).over(o), F.col(s.price))), 2))
+    """Squared log return, missing from and to a price of 0."""
+    before = F.coalesce(F.lag(s.price).over(s.order()), F.col(s.price))
+    return df.withColumn("rs_volatility", F.pow(F.ln(s.price) - F.ln(before), 2))
 
 
 def intensity(df: DataFrame, s: TickSchema = TICKS) -> DataFrame:
@@ -63,13 +64,16 @@ def realized_vol(df: DataFrame, s: TickSchema = TICKS, windows=WINDOWS) -> DataF
 
 
 def garman_klass(df: DataFrame, s: TickSchema = TICKS, windows=WINDOWS) -> DataFrame:
-    """Range and close-to-open ratio of a window; ratios within 1e-4 of 1 are pushed to that distance, exactly 1 stays."""
+    """Range and close-to-open ratio of a window; ratios within 1e-4 of 1 are pushed to that distance, exactly 1 stays.
+
+    A window with a price of 0 for its lowest or first one has no ratio and takes the realized volatility.
+    """
     o, price = s.order(), F.col(s.price)
     first = F.first(s.price).over(o.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     for w in windows:
         f, least = trailing(o, w), least_rows(w)
-        high_low = rolled(F.max(s.price), price, f, least) / rolled(F.min(s.price), price, f, least)
-        ratio = price / F.coalesce(F.lag(s.price, w).over(o), first)
+        high_low = F.try_divide(rolled(F.max(s.price), price, f, least), rolled(F.min(s.price), price, f, least))
+        ratio = F.try_divide(price, F.coalesce(F.lag(s.price, w).over(o), first))
         ratio = F.when(ratio <= 0, 1.0001).otherwise(ratio)
         ratio = F.when(F.abs(ratio - 1) < 1e-4, 1 + F.signum(ratio - 1) * 1e-4).otherwise(ratio)
         spread = F.when(high_low.isNotNull(), F.ln(F.greatest(high_low, F.lit(1.0001))))
@@ -101,7 +105,7 @@ def rolling_liquidity(df: DataFrame, s: TickSchema = TICKS, windows=WINDOWS) ->
         f, least = trailing(s.order(), w), least_rows(w)
         mean = lambda c, f=f, least=least: rolled(F.avg(c), F.col(c), f, least)
         df = df.withColumn(f"kyle_lambda_{w}", mean("kyle_lambda")).withColumn(f"amihud_{w}", mean("amihud"))
-        df = df.withColumn(f"tick_pattern_{w}", mean("sign")).withColumn(f"rel_volume_{w}", mean(s.volume) / typical)
+        df = df.withColumn(f"tick_pattern_{w}", mean("sign")).withColumn(f"rel_volume_{w}", ieee_div(mean(s.volume), typical))
     return df
 
 
@@ -152,9 +156,8 @@ def kept_features(df: DataFrame, names: list[str], most: float = 0.05) -> list[s
 def fill_chain(df: DataFrame, name: str, s: TickSchema = TICKS) -> DataFrame:
     """Infinities become null; then the last value, the next value, the median, 0."""
     o, x = s.order(), F.col(name)
-    x = F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
-    df = df.withColumn("_x", x)
-    return df.withColumn(name, F.coalesce(forward_fill(F.col("_x"), o), backward_fill(F.col("_x"), o), F.percentile("_x", 0.5).over(Window.partitionBy(s.symbol)), F.lit(0.0))).drop("_x")
+    df = df.withColumn("_x", finite(x))
+    return df.withColumn(name, F.coalesce(forward_fill(F.col("_x"), o), backward_fill(F.col("_x"), s.reverse()), F.percentile("_x", 0.5).over(Window.partitionBy(s.symbol)), F.lit(0.0))).drop("_x")
 
 
 def standardize(df: DataFrame, names: list[str]) -> DataFrame:

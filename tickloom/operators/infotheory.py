@@ -151,15 +151,63 @@ def greedy_select(scores: DataFrame, redundant: DataFrame, k: int, penalty: floa
     return chosen
 
 
-def strategy(h: DataFrame, te: DataFrame, tails: DataFrame, mi: DataFrame) -> DataFrame:
-    """One row of flags: which kinds of enhancement the measures call for."""
-    one = h.agg(F.percentile("h", 0.5).alias("m")).crossJoin(h).agg((F.max("h") > F.max("m")).alias("use_entropy"))
-    return one.crossJoin(te.agg((F.max("te") > 0.01).alias("use_transfer"))).crossJoin(tails.agg((F.max("k") > 2).alias("use_tails"))).crossJoin(mi.agg((F.avg("mi") > 0.1).alias("use_information")))
+def enhancement_potential(te: DataFrame, mi: DataFrame, target: str) -> DataFrame:
+    """``feature, potential``: transfer entropy to the target over the information shared with it, 0 where that is none."""
+    of = both_ways(mi).where(F.col("fj") == target).select(F.col("fi").alias("feature"), "mi")
+    to = te.where(F.col("dst") == target).select(F.col("src").alias("feature"), "te")
+    ratio = F.when(F.col("mi") > 0, F.coalesce("te", F.lit(0.0)) / F.col("mi")).otherwise(0.0)
+    return of.join(to, "feature", "left").select("feature", ratio.alias("potential"))
+
+
+def strategy(h: DataFrame, te: DataFrame, tails: DataFrame, mi: DataFrame, target: str) -> DataFrame:
+    """``feature, entropy_weighted, te_weighted, kl_weighted, tail_emphasis``: the enhancements that each feature calls for.
+
+    Entropy above the median of the features; transfer entropy to the target above 0.01 (the target itself: always);
+    mean information with all features, its own entropy included, above 0.1; excess kurtosis above 2.
+    """
+    to = te.where(F.col("dst") == target).select(F.col("src").alias("feature"), "te")
+    shared = both_ways(mi).groupBy(F.col("fi").alias("feature")).agg(F.sum("mi").alias("shared"), F.count("*").alias("others"))
+    rows = h.join(to, "feature", "left").join(shared, "feature", "left").join(tails.select("feature", "k"), "feature", "left")
+    typical = h.agg(F.percentile("h", 0.5).alias("typical"))
+    mean = (F.coalesce("shared", F.lit(0.0)) + F.col("h")) / (F.coalesce("others", F.lit(0)) + 1)
+    return rows.crossJoin(F.broadcast(typical)).select(
+        "feature",
+        (F.col("h") > F.col("typical")).alias("entropy_weighted"),
+        ((F.col("feature") == target) | (F.coalesce("te", F.lit(0.0)) > 0.01)).alias("te_weighted"),
+        (mean > 0.1).alias("kl_weighted"),
+        (F.coalesce("k", F.lit(0.0)) > 2).alias("tail_emphasis"),
+    )
 
 
 def entropy_weighted(df: DataFrame, importance: dict[str, float]) -> DataFrame:
     """Each feature times its weight, as ``<name>_ent_weighted``."""
-    return df.select("*", *[(F.col(c) * w).alias(f"{c}_ent_weighted") for c, w in importance.items()])
+    return _weighted(df, importance, "ent_weighted")
+
+
+def te_weighted(df: DataFrame, te_to_target: dict[str, float]) -> DataFrame:
+    """Each feature that leads the target times its transfer entropy, as ``<name>_te_weighted``."""
+    return _weighted(df, {c: w for c, w in te_to_target.items() if w > 0}, "te_weighted")
+
+
+def tail_emphasized(df: DataFrame, factors: dict[str, float]) -> DataFrame:
+    """Each feature with a tail factor above 1 times it, as ``<name>_tail_emphasized``."""
+    return _weighted(df, {c: w for c, w in factors.items() if w > 1}, "tail_emphasized")
+
+
+def _weighted(df: DataFrame, weights: dict[str, float], suffix: str) -> DataFrame:
+    return df.select("*", *[(F.col(c) * w).alias(f"{c}_{suffix}") for c, w in sorted(weights.items())])
+
+
+def kl_weighted(df: DataFrame, kl: dict[str, DataFrame], order: str, gap: int) -> DataFrame:
+    """Each feature times 1 + ln(1 + its divergence), as ``<name>_kl_weighted``.
+
+    ``kl[name]`` has ``pos, kl`` at every ``gap`` rows; a row takes the value of the last of these positions up to it, 0 before the first.
+    """
+    out = df.withColumn("_at", F.floor(F.col(order) / gap) * gap)
+    for c, table in sorted(kl.items()):
+        out = out.join(F.broadcast(table.select(F.col("pos").alias("_at"), F.col("kl").alias("_kl"))), "_at", "left")
+        out = out.withColumn(f"{c}_kl_weighted", F.col(c) * (1 + F.log1p(F.greatest(F.coalesce("_kl", F.lit(0.0)), F.lit(0.0))))).drop("_kl")
+    return out.drop("_at")
 
 
 def lagged_correlation(df: DataFrame, names: list[str], order: str) -> DataFrame:

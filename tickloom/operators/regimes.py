@@ -45,7 +45,7 @@ def nearest_centroid(df: DataFrame, centres: DataFrame, names: list[str], key: s
     return out.select(key, F.col("r")[0]["regime"].alias("regime"), sure.alias("confidence"))
 
 
-def gmm_regimes(df: DataFrame, names: list[str], pos: str, k: int = 4, time_weight: float = 0.3, restarts: int = 3, seed: int = 11) -> DataFrame:
+def gmm_regimes(df: DataFrame, names: list[str], pos: str, k: int = 4, time_weight: float = 0.3, restarts: int = 5, seed: int = 11) -> DataFrame:
     """``pos, regime, stability``: mixture over standardised features and time; of the seeded restarts that of least BIC
     times one and the share of switches."""
     stats = df.agg(F.count("*").alias("n"), *[f(c).alias(f"{p}_{c}") for c in names for p, f in (("m", F.avg), ("d", F.stddev_pop))]).first()

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import lgamma
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -185,10 +189,54 @@ def rsip_smooth(labels: DataFrame, features: list[str], least: int, alpha: float
     return labels.select(series, pos, "regime", "confidence", *features).groupBy(series).applyInPandas(run, schema)
 
 
-def min_run_length(lengths: list[int], draws: int = 1000, seed: int = 7) -> int:
-    """95th percentile of the shortest length in random splits of the runs, and one; 3 at least."""
-    rng, x = np.random.default_rng(seed), np.asarray(lengths)
-    if not len(x):
+def _expected_runs(counts: DataFrame, lengths: list[int]) -> list[float]:
+    """Expected number of runs of at least each of ``lengths`` rows, over all series, when the labels of a series are shuffled.
+
+    Of n labels with k of a kind, (n - k + 1) k (k-1)...(k-m+1) / (n (n-1)...(n-m+1)) runs of that kind have m rows or more.
+    """
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(lengths))
+        for b in batches:
+            for n, k, times in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                log, done = np.log(n - k + 1), 0
+                for i, m in enumerate(lengths):
+                    if m > k:
+                        break
+                    if m - done <= 4096:
+                        step = np.arange(done, m)
+                        log += (np.log(k - step) - np.log(n - step)).sum()
+                    else:
+                        log += lgamma(k - done + 1) - lgamma(k - m + 1) - lgamma(n - done + 1) + lgamma(n - m + 1)
+                    done = m
+                    total[i] += times * np.exp(log)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(lengths)), pa.int32()), pa.array(total)], names=["i", "runs"])
+
+    found = counts.mapInArrow(tally, "i int, runs double").groupBy("i").agg(F.sum("runs").alias("runs")).collect()
+    at = {r["i"]: r["runs"] for r in found}
+    return [at.get(i, 0.0) for i in range(len(lengths))]
+
+
+def min_run_length(labels: DataFrame, regime: str = "regime", series: str = "series", significance: float = 0.05) -> int:
+    """Length that a run of labels has to have to stand out from shuffled ones: 95th percentile of the run lengths of random
+    permutations, and one; 3 at least.
+
+    The run lengths of all permutations are known in closed form from the counts of the labels, so none is drawn: the
+    result is what ever more draws come to.  Only counts of labels are aggregated, whatever the length of a series.
+    """
+    k = labels.groupBy(series, regime).agg(F.count("*").alias("k"))
+    n = labels.groupBy(series).agg(F.count("*").alias("n"))
+    counts = k.join(n, series).groupBy("n", "k").agg(F.count("*").alias("times")).select("n", "k", "times")
+    most = counts.agg(F.max("k")).first()[0]
+    if most is None:
         return 3
-    found = [np.sort(rng.choice(x, len(x)))[: max(1, len(x) // 10)].mean() for _ in range(draws)]
-    return max(int(np.percentile(found, 95)) + 1, 3)
+    # the least m with fewer than a share of the runs longer than m, by ever finer grids
+    lo, hi = 0, most
+    total = _expected_runs(counts, [1])[0]
+    while hi - lo > 1:
+        grid = sorted({*(lo + 1 + (hi - lo - 1) * i // 64 for i in range(64)), *range(lo + 1, min(lo + 65, hi))} - {hi})
+        longer = _expected_runs(counts, [m + 1 for m in grid])
+        under = [m for m, x in zip(grid, longer, strict=True) if x < significance * total]
+        over = [m for m, x in zip(grid, longer, strict=True) if x >= significance * total]
+        lo, hi = max(over, default=lo), min(under, default=hi)
+    return max(hi + 1, 3)

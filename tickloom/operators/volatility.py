@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.kernels import banded_volatility, ewma_volatility
 from tickloom.functions.schema import TICKS, TickSchema
-from tickloom.functions.series import centred, positioned, seconds_between
+from tickloom.functions.series import backward_fill, centred, forward_fill, positioned, seconds_between
 
 WINDOW, STEP, FREQUENCIES, SMOOTH, LEAST = 1000, 100, 50, 0.5, 50
 FLOOR = 1e-10
 
 
 def log_returns(df: DataFrame, s: TickSchema = TICKS) -> DataFrame:
-    """Log return (0 in the first row), its size, seconds since the last tick (0.001 in the first row)."""
+    """Log return (0 in the first row, and from or to a price of 0), its size, seconds since the last tick (0.001 in the first row)."""
     o = s.order()
     df = df.withColumn("log_price", F.ln(s.price))
     df = df.withColumn("ret", F.coalesce(F.col("log_price") - F.lag("log_price").over(o), F.lit(0.0)))
@@ -34,10 +34,9 @@ def _per_tick(ticks: DataFrame, windows: DataFrame, s: TickSchema, name: str, sm
     keys = [s.symbol, "pos"]
     best = in_windows(ticks.select(*keys)).join(windows, [s.symbol, "win"]).groupBy(*keys).agg(F.max("vol").alias("_vol"))
     out = ticks.join(best, keys, "left")
-    o = Window.partitionBy(s.symbol).orderBy("pos")
+    o, reverse = Window.partitionBy(s.symbol).orderBy("pos"), Window.partitionBy(s.symbol).orderBy(F.desc("pos"))
     given = F.when(F.col("_vol") > 0, F.col("_vol"))
-    left, right = F.last(given, True).over(o.rowsBetween(Window.unboundedPreceding, 0)), F.first(given, True).over(o.rowsBetween(0, Window.unboundedFollowing))
-    out = out.withColumn("_vol", F.coalesce(left, right, F.lit(0.0)))
+    out = out.withColumn("_vol", F.coalesce(forward_fill(given, o), backward_fill(given, reverse), F.lit(0.0)))
     return out.withColumn(name, F.avg("_vol").over(centred(o, smooth)) if smooth else F.col("_vol")).drop("_vol")
 
 

@@ -31,7 +31,15 @@ def big(*names: str) -> str:
 
 
 def div(a: str, b: str) -> str:
-    return f"CASE WHEN ({b}) <> 0 THEN ({a}) / ({b}) WHEN ({a}) > 0 THEN 'inf'::DOUBLE WHEN ({a}) < 0 THEN '-inf'::DOUBLE END"
+    return f"CASE WHEN ({b}) <> 0 THEN ({a}) / ({b}) WHEN ({b}) = 0 AND ({a}) > 0 THEN 'inf'::DOUBLE WHEN ({b}) = 0 AND ({a}) < 0 THEN '-inf'::DOUBLE END"
+
+
+def ln(x: str) -> str:
+    return f"CASE WHEN ({x}) > 0 THEN ln({x}) END"
+
+
+def mean_change(n: int) -> str:
+    return f"avg(CASE WHEN abs(rel) < 'inf'::DOUBLE THEN abs(rel) END) OVER {back(n)} * 100"
 
 
 def seconds(a: str, b: str) -> str:
@@ -40,11 +48,11 @@ def seconds(a: str, b: str) -> str:
 
 def scored(source: str = TICKS) -> str:
     return f"""{source}, a AS (
-  SELECT *, price / lag(price) OVER {W} - 1 AS rel, price - lag(price) OVER {W} AS change,
-         (price - lag(price) OVER {W}) / lag(price) OVER {W} * 100 AS pct,
+  SELECT *, {div("price", f"lag(price) OVER {W}")} - 1 AS rel, price - lag(price) OVER {W} AS change,
+         ({div(f"price - lag(price) OVER {W}", f"lag(price) OVER {W}")}) * 100 AS pct,
          CASE WHEN count(price) OVER {mid(50)} >= 3 THEN median(price) OVER {mid(50)} END AS rolling_median FROM t
 ), b AS (
-  SELECT *, avg(abs(rel)) OVER {back(20)} * 100 AS volatility, coalesce(abs(pct) >= 0.05, false) AS significant,
+  SELECT *, {mean_change(20)} AS volatility, coalesce(abs(pct) >= 0.05, false) AS significant,
          abs(price - rolling_median) AS away,
          stddev_samp(price) OVER {back(10)} AS std10,
          CASE WHEN count(price) OVER {mid(20)} >= 3 THEN stddev_samp(price) OVER {mid(20)} END AS rolling_std,
@@ -84,19 +92,19 @@ ORACLES["robust_zscore"] = f"WITH {scored()} SELECT order_key, {r('z_score', 'pr
 
 _FLAGS = f"""{scored()}, f AS (
   SELECT *, coalesce(abs(z_score) > 3, false) AND significant
-         AND NOT ({' OR '.join(f'coalesce(abs({lead(k)} - price) / price < 0.005, false)' for k in (1, 2, 3))}) AS zscore_outlier,
+         AND NOT ({' OR '.join(f'coalesce(({div(f"abs({lead(k)} - price)", "price")}) < 0.005, false)' for k in (1, 2, 3))}) AS zscore_outlier,
          coalesce(abs(pct) > 1.5, false) AS extreme_outlier,
          coalesce(median_diff_pct > 0.5 AND abs(price_zscore) > 2 AND volume_ratio < 1, false) AS isolated_stat,
          CASE WHEN coalesce(abs(rel) < 0.0015, false) THEN 1 ELSE 0 END AS calm,
          {lag(1)} AS p1, {lag(2)} AS p2, {lag(3)} AS p3, {lead(1)} AS n1, {lead(2)} AS n2, {lead(3)} AS n3 FROM s
 ), g AS (
   SELECT *, {', '.join(f'coalesce({lag(k, "calm")}, 0) AS cb{k}, coalesce({lead(k, "calm")}, 0) AS ca{k}' for k in range(1, 6))},
-         (n1 - price) / price * 100 AS f0, (n2 - price) / price * 100 AS f1, (n3 - price) / price * 100 AS f2 FROM f
+         ({div('n1 - price', 'price')}) * 100 AS f0, ({div('n2 - price', 'price')}) * 100 AS f1, ({div('n3 - price', 'price')}) * 100 AS f2 FROM f
 ), h AS (
   SELECT *, coalesce(pos >= 5 AND pos < n - 5 AND greatest(cb1 + cb2 + cb3, cb2 + cb3 + cb4, cb3 + cb4 + cb5) >= 2
             AND greatest(ca1 + ca2 + ca3, ca2 + ca3 + ca4, ca3 + ca4 + ca5) >= 2
-            AND abs(price - {med3('p1', 'p2', 'p3')}) / {med3('p1', 'p2', 'p3')} > 0.002
-            AND abs(price - {med3('n1', 'n2', 'n3')}) / {med3('n1', 'n2', 'n3')} > 0.002, false) AS isolated_local,
+            AND ({div(f"abs(price - {med3('p1', 'p2', 'p3')})", med3('p1', 'p2', 'p3'))}) > 0.002
+            AND ({div(f"abs(price - {med3('n1', 'n2', 'n3')})", med3('n1', 'n2', 'n3'))}) > 0.002, false) AS isolated_local,
          CASE WHEN pos >= 3 AND pos < n - 3 AND abs(f0) > 0.5 THEN
            CASE WHEN f1 * f0 < 0 AND abs(f1) > 0.3 * abs(f0) THEN 2 WHEN f2 * f0 < 0 AND abs(f2) > 0.3 * abs(f0) THEN 3 END END AS span FROM g
 ), o AS (
@@ -104,7 +112,7 @@ _FLAGS = f"""{scored()}, f AS (
 )"""
 for _name, _column in (("flag_zscore", "zscore_outlier"), ("flag_extreme", "extreme_outlier"), ("flag_isolated_stat", "isolated_stat"), ("flag_isolated_local", "isolated_local"), ("flag_reversal", "reversal_outlier")):
     ORACLES[_name] = f"WITH {_FLAGS} SELECT order_key, {big(_column)} FROM o"
-ORACLES["outlier_counts"] = f"""WITH {_FLAGS} SELECT symbol, count(*) AS n, CAST(count(*) FILTER (zscore_outlier) AS BIGINT) AS zscore_outlier,
+ORACLES["outlier_counts_sql"] = f"""WITH {_FLAGS} SELECT symbol, count(*) AS n, CAST(count(*) FILTER (zscore_outlier) AS BIGINT) AS zscore_outlier,
   CAST(count(*) FILTER (extreme_outlier) AS BIGINT) AS extreme_outlier, CAST(count(*) FILTER (isolated_stat OR isolated_local) AS BIGINT) AS isolated_outlier,
   CAST(count(*) FILTER (reversal_outlier) AS BIGINT) AS reversal_outlier,
   CAST(count(*) FILTER (zscore_outlier OR extreme_outlier OR isolated_stat OR isolated_local OR reversal_outlier) AS BIGINT) AS is_outlier FROM o GROUP BY symbol"""
@@ -120,7 +128,7 @@ ORACLES["seconds_from_open"] = f"WITH {TICKS} SELECT order_key, round({_OPEN}, 6
 
 def groups(unit: str) -> str:
     return f"""{coarse(unit)}, u AS (SELECT *, {_OPEN} AS sfo FROM t), g AS (
-  SELECT *, (max(price) OVER p - min(price) OVER p) / min(price) OVER p * 100 > CASE WHEN sfo < 60 THEN 1.0 ELSE 0.5 END
+  SELECT *, ({div("max(price) OVER p - min(price) OVER p", "min(price) OVER p")}) * 100 > CASE WHEN sfo < 60 THEN 1.0 ELSE 0.5 END
             AND row_number() OVER (PARTITION BY symbol, ts ORDER BY volume DESC, order_key) > 1 AS timestamp_group
   FROM u WINDOW p AS (PARTITION BY symbol, ts))"""
 
@@ -138,17 +146,17 @@ FROM v"""
 ORACLES["collapse_suspicious_cluster"] = f"""WITH {groups('day')}, e AS (
   SELECT *, CASE WHEN timestamp_group IS DISTINCT FROM lag(timestamp_group) OVER {W} THEN 1 ELSE 0 END AS edge FROM g
 ), i AS (SELECT *, sum(edge) OVER {over('ROWS UNBOUNDED PRECEDING')} AS run FROM e
-), k AS (SELECT symbol, run, count(*) AS n, {seconds('min(ts)', 'max(ts)')} AS span, sum(price * volume) / sum(volume) AS mean, min(struct_pack(ts := ts, k := order_key)).k AS first FROM i WHERE timestamp_group GROUP BY symbol, run)
+), k AS (SELECT symbol, run, count(*) AS n, {seconds('min(ts)', 'max(ts)')} AS span, {div("sum(price * volume)", "sum(volume)")} AS mean, min(struct_pack(ts := ts, k := order_key)).k AS first FROM i WHERE timestamp_group GROUP BY symbol, run)
 SELECT order_key, round(CASE WHEN n > 5 AND span < 1 AND first = order_key THEN mean ELSE price END, 6) + 0.0 AS price,
   CAST(timestamp_group AND NOT coalesce(n > 5 AND span < 1 AND first = order_key, false) AS BIGINT) AS is_suspicious,
   CAST(timestamp_group AND coalesce(n > 5 AND span < 1 AND first <> order_key, false) AS BIGINT) AS in_cluster
 FROM i LEFT JOIN k USING (symbol, run)"""
-ORACLES["vwap"] = f"WITH {TICKS} SELECT symbol, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, round(sum(price * volume) / sum(volume), 6) + 0.0 AS vwap, round(sum(volume), 6) + 0.0 AS volume FROM t GROUP BY ALL"
+ORACLES["vwap"] = f"WITH {TICKS} SELECT symbol, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, round({div("sum(price * volume)", "sum(volume)")}, 6) + 0.0 AS vwap, round(sum(volume), 6) + 0.0 AS volume FROM t GROUP BY ALL"
 ORACLES["sample_chunks"] = f"""WITH {TICKS}, p AS (SELECT *, row_number() OVER {W} - 1 AS pos, greatest(count(*) OVER (PARTITION BY symbol) // 10, 1) AS step FROM t)
 SELECT order_key, symbol, CAST(pos AS BIGINT) AS pos FROM p WHERE pos % step < greatest(step // 10, 1)"""
 
 # volatility
-_RET = f"""{TICKS}, v0 AS (SELECT *, coalesce(ln(price) - lag(ln(price)) OVER {W}, 0) AS ret, coalesce({seconds(f'lag(ts) OVER {W}', 'ts')}, 0.001) AS gap,
+_RET = f"""{TICKS}, v0 AS (SELECT *, coalesce(({ln("price")}) - lag({ln("price")}) OVER {W}, 0) AS ret, coalesce({seconds(f'lag(ts) OVER {W}', 'ts')}, 0.001) AS gap,
   row_number() OVER {W} - 1 AS pos FROM t)"""
 ORACLES["log_returns"] = f"WITH {_RET}, x AS (SELECT *, abs(ret) AS abs_ret FROM v0) SELECT order_key, {r('ret', 'abs_ret', 'gap')} FROM x"
 
@@ -184,8 +192,8 @@ SELECT order_key, round(CASE WHEN ewma_vol IS NULL THEN mle_vol ELSE (mle_vol +
 
 # features
 _F = f"""{_RET}, f0 AS (
-  SELECT *, sign(ret) AS sg, {seconds(f'lag(ts) OVER {W}', 'ts')} AS g0, price / lag(price) OVER {W} - 1 AS rel FROM v0
-), f1 AS (SELECT * EXCLUDE (gap), coalesce(g0, median(g0) OVER (PARTITION BY symbol), 1) AS g1, avg(abs(rel)) OVER {back(20)} * 100 AS volatility,
+  SELECT *, sign(ret) AS sg, {seconds(f'lag(ts) OVER {W}', 'ts')} AS g0, {div("price", f"lag(price) OVER {W}")} - 1 AS rel FROM v0
+), f1 AS (SELECT * EXCLUDE (gap), coalesce(g0, median(g0) OVER (PARTITION BY symbol), 1) AS g1, {mean_change(20)} AS volatility,
          CASE WHEN ret >= 0 THEN volume ELSE 0 END AS buy, CASE WHEN ret < 0 THEN volume ELSE 0 END AS sell,
          abs(ret) / (sqrt(volume) + 1e-8) AS kyle_lambda, abs(ret) / (volume + 1e-8) AS amihud FROM f0
 ), f AS (SELECT *, CASE WHEN g1 = 0 THEN 0.001 ELSE g1 END AS gap FROM f1)"""
@@ -212,16 +220,18 @@ _TICK = {
 ORACLES["tick_metrics"] = features(_TICK).replace("round(CAST(tick_run_length_ AS DOUBLE), 6) + 0.0 AS", "CAST(tick_run_length_ AS BIGINT) AS")
 _IMBALANCE = {"volume_imbalance": "(buy - sell) / (buy + sell + 1e-8)"}
 _IMPACT = {"kyle_lambda": "kyle_lambda", "amihud": "amihud"}
-_RS = {"rs_volatility": f"pow(ln(price / coalesce(lag(price) OVER {W}, price)), 2)"}
+_RS = {"rs_volatility": f"pow(({ln('price')}) - ({ln(f'coalesce(lag(price) OVER {W}, price)')}), 2)"}
 _INTENSITY = {"trading_intensity": "volume / gap", "return_intensity": "abs(ret) / gap"}
 _REALIZED = {f"realized_vol_{w}": f"sqrt({gated('sum(ret * ret)', 'ret', w, least(w))})" for w in WINDOWS} | {f"abs_return_{w}": gated("avg(abs(ret))", "ret", w, least(w)) for w in WINDOWS}
 
 
 def _gk(w: int) -> str:
-    hl = f"ln(greatest(max(price) OVER {back(w)} / min(price) OVER {back(w)}, 1.0001))"
-    q = f"(price / coalesce(lag(price, {w}) OVER {W}, first_value(price) OVER {W}))"
-    co = f"ln(CASE WHEN abs({q} - 1) < 1e-4 THEN 1 + sign({q} - 1) * 1e-4 ELSE {q} END)"
-    return f"CASE WHEN count(price) OVER {back(w)} >= {least(w)} THEN sqrt(greatest(0.5 * pow({hl}, 2) - (2 * ln(2) - 1) * pow({co}, 2), 1e-10)) ELSE {_REALIZED[f'realized_vol_{w}']} END"
+    wide = f"(max(price) OVER {back(w)} / nullif(min(price) OVER {back(w)}, 0))"
+    hl = f"ln(greatest({wide}, 1.0001))"
+    q = f"(price / nullif(coalesce(lag(price, {w}) OVER {W}, first_value(price) OVER {W}), 0))"
+    co = f"ln(CASE WHEN {q} <= 0 THEN 1.0001 WHEN abs({q} - 1) < 1e-4 THEN 1 + sign({q} - 1) * 1e-4 ELSE {q} END)"
+    there = f"count(price) OVER {back(w)} >= {least(w)} AND {wide} IS NOT NULL AND {q} IS NOT NULL"
+    return f"CASE WHEN {there} THEN sqrt(greatest(0.5 * pow({hl}, 2) - (2 * ln(2) - 1) * pow({co}, 2), 1e-10)) ELSE {_REALIZED[f'realized_vol_{w}']} END"
 
 
 _GK = {f"gk_vol_{w}": _gk(w) for w in WINDOWS}
@@ -284,17 +294,19 @@ ORACLES["tail_factor"] = f"WITH {bins(10)}, k AS (SELECT feature, kurtosis_pop(x
 ORACLES["conditional_entropy"] = f"""WITH {bins(10)}, j AS (SELECT a.feature, a.bin AS bx, b.bin AS bt, count(*) AS n FROM bn a JOIN bn b ON a.row_id = b.row_id AND b.feature = 'price' WHERE a.feature <> 'price' GROUP BY ALL
 ), k AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature, bx) AS g, sum(n) OVER (PARTITION BY feature) AS t FROM j)
 SELECT feature, round(-sum(n / t * ln(n / g)), 6) + 0.0 AS h FROM k GROUP BY feature"""
-ORACLES["transfer_entropy"] = f"""WITH {bins(8)}, j AS (
+_TE = f"""WITH {bins(8)}, j AS (
   SELECT x.feature AS src, y.feature AS dst, z.bin AS y1, y.bin AS y0, x.bin AS x0, count(*) * 1.0::DOUBLE AS n
   FROM bn y JOIN bn z ON z.feature = y.feature AND z.row_id = y.row_id + 1 JOIN bn x ON x.row_id = y.row_id AND x.feature <> y.feature GROUP BY ALL
 ), a AS (SELECT src, dst, -sum(n * ln(n / g)) / sum(n) AS h FROM (SELECT *, sum(n) OVER (PARTITION BY src, dst, y0) AS g FROM (SELECT src, dst, y1, y0, sum(n) AS n FROM j GROUP BY ALL)) GROUP BY ALL
 ), b AS (SELECT src, dst, -sum(n * ln(n / g)) / sum(n) AS h FROM (SELECT *, sum(n) OVER (PARTITION BY src, dst, y0, x0) AS g FROM j) GROUP BY ALL)
-SELECT src, dst, round(greatest(a.h - b.h, 0), 6) + 0.0 AS te FROM a JOIN b USING (src, dst)"""
-ORACLES["rolling_kl"] = f"""WITH {_ROWS}, ends AS (SELECT unnest(range(300, (SELECT max(row_id) FROM fr) + 1, 100)) AS pos
+SELECT src, dst, greatest(a.h - b.h, 0) AS te FROM a JOIN b USING (src, dst)"""
+ORACLES["transfer_entropy"] = f"SELECT src, dst, {r('te')} FROM ({_TE})"
+_KL = f"""WITH {_ROWS}, ends AS (SELECT unnest(range(300, (SELECT max(row_id) FROM fr) + 1, 100)) AS pos
 ), rw AS (SELECT pos, price, row_id >= pos - 200 AS late, row_id < pos - 100 AS early FROM ends JOIN fr ON row_id >= pos - 300 AND row_id < pos
 ), sp AS (SELECT pos, min(price) AS lo, max(price) AS hi FROM rw GROUP BY pos
 ), c AS (SELECT pos, CASE WHEN hi > lo THEN least(floor((price - lo) / (hi - lo) * 8), 7) ELSE 0 END AS bin, count(*) FILTER (late) / 200.0 + 1e-10 AS p, count(*) FILTER (early) / 200.0 + 1e-10 AS q FROM rw JOIN sp USING (pos) GROUP BY ALL)
-SELECT pos, round(sum(p * ln(p / q)), 6) + 0.0 AS kl FROM c GROUP BY pos"""
+SELECT pos, sum(p * ln(p / q)) AS kl FROM c GROUP BY pos"""
+ORACLES["rolling_kl"] = f"SELECT pos, {r('kl')} FROM ({_KL})"
 ORACLES["nmi_rank"] = f"""WITH {_INFO}, x AS (SELECT fi AS feature, coalesce(mi / sqrt(h.h * (SELECT h FROM h WHERE feature = 'price')), 0) AS nmi FROM m2 JOIN h ON h.feature = fi WHERE fj = 'price')
 SELECT feature, round(nmi, 6) + 0.0 AS nmi, row_number() OVER (ORDER BY round(nmi, 9) DESC, feature) AS rank FROM x"""
 _IMPORTANCE = """imp AS (SELECT feature, greatest(0.5 * (h - min(h) OVER () + 1e-10) / (max(h) OVER () - min(h) OVER () + 1e-10) + 0.5 * (mi - min(mi) OVER () + 1e-10) / (max(mi) OVER () - min(mi) OVER () + 1e-10), 0) AS importance
@@ -310,6 +322,19 @@ ORACLES["greedy_selection"] = f"""WITH {_INFO}, {_SCORES}, one AS (SELECT featur
   WHERE sc.feature <> one.feature ORDER BY score - 0.5 * coalesce(mi / least(a.h, b.h), 0) DESC, sc.feature LIMIT 1)
 SELECT CAST(0 AS INT) AS rank, feature FROM one UNION ALL SELECT CAST(1 AS INT), feature FROM two"""
 ORACLES["entropy_weighted"] = f"WITH {_INFO}, {_IMPORTANCE} SELECT row_id, " + ", ".join(f"round({c} * (SELECT importance FROM imp WHERE feature = '{c}'), 4) + 0.0 AS {c}_ent_weighted" for c in NAMES if c != "price") + " FROM fr"
+_TO_TARGET = f"te AS (SELECT src AS feature, te FROM ({_TE}) WHERE dst = 'price')"
+ORACLES["enhancement_potential"] = f"""WITH {_INFO}, {_TO_TARGET}
+SELECT fi AS feature, round(CASE WHEN mi > 0 THEN te / mi ELSE 0 END, 6) + 0.0 AS potential FROM m2 JOIN te ON te.feature = fi WHERE fj = 'price'"""
+ORACLES["enhancement_strategy"] = f"""WITH {_INFO}, {_TO_TARGET}, k AS (SELECT feature, kurtosis_pop(x) AS k FROM lg GROUP BY feature
+), sh AS (SELECT fi AS feature, sum(mi) AS s, count(*) AS n FROM m2 GROUP BY fi)
+SELECT h.feature, CAST(h.h > (SELECT median(h) FROM h) AS BIGINT) AS entropy_weighted, CAST(h.feature = 'price' OR coalesce(te, 0) > 0.01 AS BIGINT) AS te_weighted,
+  CAST((s + h.h) / (n + 1) > 0.1 AS BIGINT) AS kl_weighted, CAST(k > 2 AS BIGINT) AS tail_emphasis
+FROM h JOIN sh USING (feature) JOIN k USING (feature) LEFT JOIN te USING (feature)"""
+ORACLES["te_weighted"] = f"WITH {_ROWS}, {_TO_TARGET} SELECT row_id, " + ", ".join(f"round({c} * (SELECT te FROM te WHERE feature = '{c}'), 4) + 0.0 AS {c}_te_weighted" for c in NAMES if c != "price") + " FROM fr"
+_SIXTH = f"{_ROWS}, sx AS (SELECT row_id, pow(price, 6) AS price, pow(volume, 6) AS volume FROM fr)"
+ORACLES["tail_emphasized"] = f"WITH {_SIXTH} SELECT row_id, " + ", ".join(f"round({c} * (SELECT ln(1 + kurtosis_pop({c})) FROM sx) / 1e9, 3) + 0.0 AS {c}_tail_emphasized" for c in ("price", "volume")) + " FROM sx"
+ORACLES["kl_weighted"] = f"""WITH {_ROWS}, k AS ({_KL})
+SELECT row_id, round(price * (1 + ln(1 + greatest(coalesce(kl, 0), 0))), 6) + 0.0 AS price_kl_weighted FROM fr LEFT JOIN k ON k.pos = row_id // 100 * 100"""
 ORACLES["lagged_corr_te"] = (
     f"WITH {_ROWS}, n AS (SELECT *, " + ", ".join(f"lead({c}) OVER (ORDER BY row_id) AS next_{c}" for c in NAMES) + " FROM fr), c AS ("
     + " UNION ALL ".join(f"SELECT '{a}' AS src, '{b}' AS dst, coalesce(pow(corr({a}, next_{b}), 2), 0) AS te FROM n" for a in NAMES for b in NAMES if a != b)
@@ -385,6 +410,10 @@ _LB = f"""{TICKS}, lb AS (SELECT symbol AS series, row_number() OVER {W} - 1 AS
 ), tm AS (SELECT src, dst, count(*) * 1.0::DOUBLE / sum(count(*)) OVER (PARTITION BY src) AS p FROM (SELECT regime AS src, lead(regime) OVER (PARTITION BY series ORDER BY pos) AS dst FROM lb) WHERE dst IS NOT NULL GROUP BY src, dst)"""
 ORACLES["regime_runs"] = f'WITH {_LB} SELECT series, run_id, regime, "start", "end", length FROM ru'
 ORACLES["run_length_stats"] = f"WITH {_LB} SELECT regime, count(*) AS n, round(avg(length), 6) + 0.0 AS mean, min(length) AS shortest, max(length) AS longest, round(median(length), 6) + 0.0 AS median FROM ru GROUP BY regime"
+# expected runs of m rows or more among shuffled labels: (n - k + 1) k..(k-m+1) / n..(n-m+1) for each kind
+ORACLES["min_run_length"] = f"""WITH {_LB}, kc AS (SELECT series, regime, count(*) AS k, sum(count(*)) OVER (PARTITION BY series) AS n FROM lb GROUP BY series, regime
+), tl AS (SELECT m, sum(CASE WHEN m <= k THEN (n - k + 1) * list_product(list_transform(range(0, m), lambda i: (k - i)::DOUBLE / (n - i))) ELSE 0 END) AS x FROM kc, range(1, 400) r(m) GROUP BY m)
+SELECT CAST(greatest(min(m) + 1, 3) AS BIGINT) AS least FROM (SELECT m - 1 AS m FROM tl WHERE x < 0.05 * (SELECT x FROM tl WHERE m = 1))"""
 ORACLES["transition_matrix"] = f"WITH {_LB} SELECT src, dst, {r('p')} FROM tm"
 ORACLES["transition_forecast"] = f"""WITH {_LB}, p2 AS (SELECT a.src, b.dst, sum(a.p * b.p) AS p FROM tm a JOIN tm b ON a.dst = b.src GROUP BY ALL), p3 AS (SELECT a.src, b.dst, sum(a.p * b.p) AS p FROM p2 a JOIN tm b ON a.dst = b.src GROUP BY ALL)
 SELECT CAST(1 AS BIGINT) AS step, src, dst, {r('p')} FROM tm UNION ALL SELECT 2, src, dst, {r('p')} FROM p2 UNION ALL SELECT 3, src, dst, {r('p')} FROM p3"""

@@ -58,13 +58,13 @@ _flag("flag_wavelet", cleaning.flag_wavelet, "wavelet_outlier")
 
 @query
 def outlier_counts(spark, d):
-    """The four flags that SQL can express; ``outlier_counts_all`` has all five."""
-    return rounded(cleaning.outlier_counts(cleaning.flag_outliers(ticks(spark, d), wavelet=False)).drop("wavelet_outlier"))
+    """All five flags; the wavelet is beyond SQL, so ``outlier_counts_sql`` holds the other four against an oracle."""
+    return rounded(cleaning.outlier_counts(cleaning.flag_outliers(ticks(spark, d))))
 
 
 @query
-def outlier_counts_all(spark, d):
-    return rounded(cleaning.outlier_counts(cleaning.flag_outliers(ticks(spark, d))))
+def outlier_counts_sql(spark, d):
+    return rounded(cleaning.outlier_counts(cleaning.flag_outliers(ticks(spark, d), wavelet=False)).drop("wavelet_outlier"))
 
 
 @query
@@ -148,7 +148,7 @@ def fill_chain(spark, d):
     t = ticks(spark, d).withColumn("volume", F.when(F.col("volume") > 20, F.col("volume")))
     o = TICKS.order()
     filled = features.fill_chain(t, "volume").select(*K, F.col("volume").alias("filled"))
-    ends = t.select(*K, forward_fill(F.col("volume"), o).alias("ffilled"), backward_fill(F.col("volume"), o).alias("bfilled"))
+    ends = t.select(*K, forward_fill(F.col("volume"), o).alias("ffilled"), backward_fill(F.col("volume"), TICKS.reverse()).alias("bfilled"))
     return rounded(filled.join(ends, K))
 
 
@@ -191,7 +191,33 @@ QUERIES["select_by_variance"] = lambda s, d: rounded(infotheory.select_by_varian
 @query
 def enhancement_strategy(spark, d):
     x = _long(spark, d)
-    return infotheory.strategy(infotheory.entropy(x), infotheory.transfer_entropy(x), infotheory.tail_factor(x), infotheory.mutual_information(x, 16))
+    out = infotheory.strategy(infotheory.entropy(x, 16), infotheory.transfer_entropy(x), infotheory.tail_factor(x), infotheory.mutual_information(x, 16), TARGET)
+    return out.select("feature", *[F.col(c).cast("bigint").alias(c) for c in out.columns[1:]])
+
+
+QUERIES["enhancement_potential"] = lambda s, d: rounded(infotheory.enhancement_potential(infotheory.transfer_entropy(_long(s, d)), _information(s, d)[1], TARGET))
+
+
+@query
+def te_weighted(spark, d):
+    te = infotheory.transfer_entropy(_long(spark, d)).where(F.col("dst") == TARGET).collect()
+    return rounded(infotheory.te_weighted(feature_rows(spark, d), {r["src"]: r["te"] for r in te}).drop(*FEATURES), 4)
+
+
+@query
+def tail_emphasized(spark, d):
+    """Sixth powers of the measures, which have tails."""
+    x = feature_rows(spark, d).select("row_id", *[F.pow(c, 6).alias(c) for c in ("price", "volume")])
+    k = infotheory.tail_factor(infotheory.unpivot(x, "row_id", ["price", "volume"])).collect()
+    out = infotheory.tail_emphasized(x, {r["feature"]: r["factor"] for r in k}).drop("price", "volume")
+    return out.select("row_id", *[(F.round(F.col(c) / 1e9, 3) + F.lit(0.0)).alias(c) for c in out.columns[1:]])
+
+
+@query
+def kl_weighted(spark, d):
+    rows = feature_rows(spark, d)
+    kl = infotheory.rolling_kl(rows.select(F.col("row_id").alias("pos"), F.col("price").alias("x")), 200, 100, 8)
+    return rounded(infotheory.kl_weighted(rows, {"price": kl}, "row_id", 100).select("row_id", "price_kl_weighted"))
 
 
 @query
@@ -310,9 +336,7 @@ def rsip_smooth(spark, d):
 
 @query
 def min_run_length(spark, d):
-    counts = runs.regime_runs(labels(spark, d)).groupBy("length").agg(F.count("*").alias("n")).collect()
-    lengths = [r["length"] for r in sorted(counts, key=lambda r: r["length"]) for _ in range(r["n"])]
-    return spark.createDataFrame([(runs.min_run_length(lengths),)], "least int")
+    return spark.createDataFrame([(runs.min_run_length(labels(spark, d)),)], "least long")
 
 
 QUERIES["robust_scale"] = lambda s, d: rounded(regimes.robust_scale(feature_rows(s, d), FEATURES))

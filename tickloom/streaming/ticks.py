@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickloom.functions.schema import TICKS, TickSchema
+from tickloom.functions.series import ieee_div
 from tickloom.operators.regimes import RegimeModel
 
 
@@ -25,7 +26,7 @@ def windowed(stream: DataFrame, s: TickSchema = TICKS, width: str = "10 minutes"
     """
     rows = stream.withColumn(s.ts, F.col(s.ts).cast("timestamp")).withWatermark(s.ts, late)
     agg = rows.groupBy(F.window(s.ts, width), s.symbol).agg(
-        F.count("*").alias("n"), (F.sum(F.col(s.price) * F.col(s.volume)) / F.sum(s.volume)).alias("vwap"), F.min(s.price).alias("low"), F.max(s.price).alias("high")
+        F.count("*").alias("n"), ieee_div(F.sum(F.col(s.price) * F.col(s.volume)), F.sum(s.volume)).alias("vwap"), F.min(s.price).alias("low"), F.max(s.price).alias("high")
     )
     return agg.select(F.col("window.start").alias("start"), s.symbol, "n", "vwap", "low", "high")
 
