@@ -111,24 +111,75 @@ def test_chains_and_unlinked_centres(spark):
     assert rows(jaccard.join(docs(spark, texts), THREE), "doc_id", "n_shingles", "component_id") == brute(list(enumerate(texts)))
 
 
-@pytest.mark.parametrize("rule", [THREE, FIVE])
-def test_linked_sets_share_a_key(rule):
-    rng = np.random.default_rng(1)
-    for _ in range(3000):
+def linked_pairs(rule, seed, rounds=1500):
+    """Sets of all sizes at all distances around the threshold: ``a, b, linked`` of sets that are not equal."""
+    rng = np.random.default_rng(seed)
+    for _ in range(rounds):
         n = int(rng.choice([4, 5, 8, 9, 10, 11, 13, 15, 18, 19, 20, 21, 27, 28, 30, 45, 100, 300, 449, 450]))
         a = rng.integers(0, 2**62, n).astype(np.uint64) * np.uint64(2)
         keep = int(rng.integers(int(n * (rule.percent - 5) / 100), n + 1))
         b = np.concatenate([rng.permutation(a)[:keep], rng.integers(0, 2**62, int(rng.integers(0, n // 4 + 2))).astype(np.uint64) * np.uint64(2) + np.uint64(1)])
         a, b = np.unique(a), np.unique(b)
         both = len(np.intersect1d(a, b))
-        if 100 * both >= rule.percent * (len(a) + len(b) - both) and not np.array_equal(a, b):
-            assert len(np.intersect1d(jaccard.keys_of(a, rule), jaccard.keys_of(b, rule))), (len(a), len(b), both)
+        if not np.array_equal(a, b):
+            yield a, b, 100 * both >= rule.percent * (len(a) + len(b) - both)
+
+
+@pytest.mark.parametrize("rule", [THREE, FIVE])
+def test_linked_sets_meet_in_a_list_at_places_that_may_link(rule):
+    levels = np.random.default_rng(5).integers(0, 4, 1 << 12).astype(np.uint8)
+    for a, b, linked in linked_pairs(rule, 1):
+        if linked:
+            x, y = (jaccard.rarest(h, levels, rule.prefix(len(h))) for h in (a, b))
+            both = np.intersect1d(x, y)
+            assert len(both) and rule.least_partner(max(len(a), len(b))) <= min(len(a), len(b))
+            for k in both:
+                p, q = (int(np.flatnonzero(z == k)[0]) for z in (x, y))
+                most = min(p, q) + 1 + min(len(a) - p - 1, len(b) - q - 1)
+                assert (100 + rule.percent) * most >= rule.percent * (len(a) + len(b))
+            assert all(len(np.intersect1d(*(jaccard.block_keys(h, rule, seed) for h in (a, b)))) for seed in (1, 2))
+
+
+@pytest.mark.parametrize("rule", [THREE, FIVE, jaccard.Rule(60, 2)])
+def test_sets_of_two_sizes_share_a_subset_if_linked(rule):
+    for a, b, linked in linked_pairs(rule, 2, 400):
+        if max(len(a), len(b)) < 12:
+            shared = len(np.intersect1d(*(jaccard.subset_keys(h, rule, 12) for h in (a, b))))
+            assert bool(shared) == linked or (shared and len(a) == len(b)), (len(a), len(b))
+
+
+def test_order_is_that_of_level_and_hash():
+    rng = np.random.default_rng(8)
+    levels, h = rng.integers(0, 3, 1 << 10).astype(np.uint8), np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
+    want = sorted(h.tolist(), key=lambda x: (levels[x % 1024], x))
+    assert all(jaccard.rarest(h, levels, k).tolist() == want[:k] for k in (1, 7, 299, 300))
+
+
+def test_levels_grow_with_the_number_of_documents(spark):
+    texts = ["a b c d"] * 40 + [f"u{i} v{i} w{i} x{i}" for i in range(30)]
+    found = jaccard.signatures(docs(spark, texts).repartition(3), THREE)
+    levels = jaccard.levels_of(found.where("at is not null").select("at", "counts"))
+    at = lambda t: levels[(jaccard.shingles(t, jaccard.Words(), 3) & np.uint64(jaccard.COUNTERS - 1)).astype(np.int64)]
+    assert (at("a b c d") == round(8 * np.log2(41))).all() and (at("u3 v3 w3 x3") == 8).all()
+    assert jaccard.mean_others(levels) == pytest.approx((2 * 40 * 39) / (2 * 40 + 60), rel=0.1)
+    assert jaccard.mean_others(np.zeros(16, np.uint8)) == 0
 
 
 def test_boundary_follows_cost():
     for rule in (THREE, FIVE):
-        n, cost = rule.boundary, lambda k: rule.blocks(k) * (1 + jaccard.SHARED * k)  # noqa: B023, E731
-        assert all(rule.subsets(k) <= cost(k) for k in range(1, n)) and rule.subsets(n) > cost(n)
+        for others in (0.0, 3.0, 40.0):
+            n = rule.boundary(others)
+            assert all(rule.subsets(k) <= rule.prefix(k) * (1 + others) for k in range(1, n)) and rule.subsets(n) > rule.prefix(n) * (1 + others)
+        assert rule.boundary(0.0) < rule.boundary(40.0)
+
+
+@pytest.mark.parametrize("others", [0.0, 10.0, 60.0])
+def test_any_boundary_finds_all_links(spark, monkeypatch, others):
+    monkeypatch.setattr(jaccard, "mean_others", lambda levels: others)
+    texts = corpus(300, 6)
+    got = jaccard.join(docs(spark, texts), THREE)
+    assert rows(got, "doc_id", "n_shingles", "component_id") == brute(list(enumerate(texts)))
+    assert rows(got, "doc_id", "n_links") == brute_links(list(enumerate(texts)), THREE)
 
 
 def test_jaccard_of_awkward_rows(spark):
@@ -149,12 +200,18 @@ def test_deduplicate(spark):
     assert jaccard.deduplicate(empty(spark)).count() == 0
 
 
-def test_sketches_never_drop_a_link():
-    rng = np.random.default_rng(2)
-    for _ in range(500):
-        a, b = (np.unique(rng.integers(0, 400, int(rng.integers(1, 300))).astype(np.uint64)) for _ in range(2))
-        bits = sum(int(x).bit_count() for x in (jaccard.sketch(a) ^ jaccard.sketch(b)).view(np.uint64))
-        assert bits <= len(np.setxor1d(a, b))
+def test_sketches_never_drop_a_link(spark):
+    """Widths of one and of two sizes; the engine's count of differing bits is that of the folded sketches."""
+    rng, held = np.random.default_rng(2), []
+    for n in (1, 40, 300, 511, 512, 513, 600, 2000):
+        for m in (1, 40, 300, 511, 512, 513, 600, 1100):
+            a, b = (np.unique(rng.integers(0, 3000, k).astype(np.uint64)) for k in (n, m))
+            held.append((jaccard.sketch(a).tolist(), jaccard.sketch(b).tolist(), len(np.setxor1d(a, b))))
+    df = spark.createDataFrame(held, "sketch_a array<long>, sketch_b array<long>, apart long").withColumn("differ", jaccard.differing("a", "b"))
+    for r in df.collect():
+        assert r["differ"] <= r["apart"]
+        if len(r["sketch_a"]) == len(r["sketch_b"]):
+            assert r["differ"] == sum((x ^ y & (1 << 64) - 1).bit_count() if (x ^ y) >= 0 else ((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(r["sketch_a"], r["sketch_b"], strict=True))
 
 
 @pytest.mark.parametrize("shape", ["path", "star", "random", "none"])

@@ -37,7 +37,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: cut lineage that outlives executors."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of ``materialize`` that nothing reads any more; all that was made of them must be written itself."""
+    for df in tables:
+        if path := getattr(df, "_written_to", None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def lookup(rows: DataFrame, facts: DataFrame, key: list[str], n_rows: int, spread: str, count: str = "n", share: int = HOT_SHARE) -> DataFrame:
@@ -71,9 +82,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     smallest neighbour by way of a grouped minimum and a join, never a
     collected neighbour list, so a component of any size stays spread.
     """
-    e = materialize(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc"
-    )
+    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
     for _ in range(most_rounds):
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
@@ -89,6 +98,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # star forest: each u once, and no centre hangs off another
         twice = new.groupBy("u").agg(F.count("*").alias("k")).where("k > 1").limit(1)
         chained = new.select(F.col("v").alias("u")).join(new.select("u"), "u", "left_semi").select("u").limit(1)
+        forget(e, large)
         e = new
         if not twice.select("u").unionAll(chained).take(1):
             break

@@ -1,20 +1,21 @@
 """Jaccard self-join of word-shingle sets, size-aware.
 
-Small sets, for which that is cheaper, are joined by enumerating subsets: two
-linked sets share their intersection, so each lists the subsets that leave out
-as many shingles as a link allows.  Large sets scan inverted lists.  A list of a
-single shingle holds every document with a common passage, so the lists are kept
-by block instead: hashes cut the universe into one block more than the shingles
-in which two linked sets of that size can differ, so linked sets agree on a
-whole block, while sets that only share a passage hardly ever do.  The boundary
-between the two is where the expected cost of the lists falls below that of the
-subsets; sets just under it take part in both.
+Small sets, for which that is cheaper, are joined by enumerating subsets: sets of
+n and m shingles are linked if and only if they share a subset of a fixed size,
+the least intersection that links these sizes, so each lists its subsets of that
+size for every size a partner can have.  Large sets scan inverted lists: the
+shingles of a set are put in one order for all sets, rarest first, and a set is
+in the lists of its first few, so many that two linked sets meet in one.  How rare
+a shingle is comes from counts over all sets, in a table of fixed size; a shingle
+of a passage that many texts share comes last, so its list is hardly ever kept.
+The boundary between the two is where a set's subsets come to cost more than its
+lists, whose mean length is measured on the same counts.
 
 Equal sets are one node from the start.  In each list all nodes are first held
 against the smallest only; pairs within a component found so are not looked at
-again, the remaining pairs of a list are.  Sketches that differ in more bits than
-linked sets can differ in shingles drop a pair before it is made, and every
-candidate is confirmed on the whole sets, so the links are exact.
+again, the remaining pairs of a list are.  Sizes, places in the lists and sketches
+as wide as the sets drop a pair that cannot link, and every other candidate is
+confirmed on the whole texts, so the links are exact.
 
 Components need no more than that.  A count of all links does: a link joins two
 sets of one component, so within each component all sets of sizes that can link
@@ -26,32 +27,38 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, components, lookup, materialize
+from .common import HOT_SHARE, components, forget, lookup, materialize
 from .shingles import Words, mix, shingles
 
 #: Words in a shingle, and the least similarity in percent.
 WORDS, PERCENT = 5, 80
-#: Sizes of a class of large sets reach from its first size to this many times it.
+#: Sizes of a class of sets that long lists are cut by reach from its first size to this many times it, or to its largest partner.
 CLASS = 1.5
-#: Assumed share of lists with a second entry, each of which costs a pass over the set.
-SHARED = 0.5
 #: Independent cuts into blocks tried for a set that leaves a block empty.
 CUTS = 3
+#: Counters of the table that tells rare shingles from frequent ones, and how many of them make a row.
+COUNTERS, PER_ROW = 1 << 22, 1 << 18
+#: Steps of a level of that table for each doubling of a count.
+STEPS = 8
+#: Bits of a sketch: as many as shingles, between these.
+LEAST_BITS, MOST_BITS = 512, 1 << 17
 #: Lists longer than this are cut into parts by further keys, so many times at most, before their pairs are formed.
-LONGEST, SEEDS = 4096, 2
+LONGEST, SEEDS = 1024, 2
 #: Bits of the filters for the documents that are read again, at most.
 FILTER_BITS = 1 << 25
-#: Hot centres whose sets are broadcast for the confirmation, at most.
-CENTRES = 64
+#: Texts and shingles that are confirmed against one centre in one group, about.
+GROUP_TEXTS, GROUP_SHINGLES = 512, 1 << 21
 #: Sets and shingles on one side of a tile, about; shingles looked at together in it.
 TILE_SETS, TILE_SHINGLES, TILE_WIDTH = 1024, 1 << 19, 2048
 
@@ -67,46 +74,83 @@ class Rule:
         """Size of the largest set that can link with one of size ``n``."""
         return n * 100 // self.percent
 
-    def left_out(self, n: int) -> int:
-        """Shingles of a set of size ``n`` that a linked set can lack."""
-        return n - -(-self.percent * n // 100)
+    def least_partner(self, n: int) -> int:
+        return -(-self.percent * n // 100)
 
-    def blocks(self, largest: int) -> int:
-        """Blocks for linked pairs whose smaller set has at most ``largest``: their possible differences and one."""
-        return 1 + (largest + self.most_partner(largest)) * (100 - self.percent) // (100 + self.percent)
+    def overlap(self, n: int, m: int) -> int:
+        """Least intersection that links sets of sizes ``n`` and ``m``."""
+        return -(-self.percent * (n + m) // (100 + self.percent))
+
+    def prefix(self, n: int) -> int:
+        """Rarest shingles of a set of size ``n`` of which a linked set has one among its own."""
+        return n - self.least_partner(n) + 1
+
+    def partners(self, n: int) -> list[tuple[int, int]]:
+        """Sizes that can link with ``n`` and the size of the subset that then is shared; equal sets are no pair."""
+        found = [(m, self.overlap(n, m)) for m in range(self.least_partner(n), self.most_partner(n) + 1)]
+        return [(m, c) for m, c in found if c <= min(n, m) and (m != n or c < n)]
 
     def subsets(self, n: int) -> int:
-        return sum(comb(n, i) for i in range(self.left_out(n) + 1))
+        return sum(comb(n, c) for _, c in self.partners(n))
 
-    @cached_property
-    def boundary(self) -> int:
-        """Smallest size at which the lists are expected to cost less than the subsets."""
+    def boundary(self, others: float) -> int:
+        """Smallest size whose subsets cost more than its lists, a list costing its entry and ``others`` further ones."""
         n = 1
-        while self.subsets(n) <= self.blocks(n) * (1 + SHARED * n):
+        while self.subsets(n) <= self.prefix(n) * (1 + others):
             n += 1
         return n
 
+    def blocks(self, largest: int) -> int:
+        """Blocks for linked pairs whose smaller set has at most ``largest``: their possible differences and one."""
+        return 1 + (largest + self.most_partner(largest)) * (100 - self.percent) // (100 + self.percent)
+
     @cached_property
     def class_edges(self) -> tuple[int, ...]:
-        """First sizes of the classes; the first takes in all partners of large sets."""
-        edges = [-(-self.percent * self.boundary // 100)]
+        """First sizes of classes such that linked sets are in one class or in neighbouring ones."""
+        edges = [1]
         while edges[-1] < 1 << 40:
-            edges.append(int(edges[-1] * CLASS) + 1)
+            edges.append(max(int(edges[-1] * CLASS) + 1, self.most_partner(edges[-1]) + 1))
         return tuple(edges)
 
 
-def _subset_keys(h: np.ndarray, most: int) -> np.ndarray:
-    """A key for every subset that leaves out ``most`` shingles at most: the sum of its mixed hashes, with its size."""
-    m = mix(h)
-    level = [(m.sum(dtype=np.uint64)[None], np.array([-1]))]
-    for _ in range(most):
-        sums, last = level[-1]
-        more = [(sums[i] - m[last[i] + 1 :], np.arange(last[i] + 1, len(m))) for i in range(len(sums))]
-        level.append((np.concatenate([x[0] for x in more]), np.concatenate([x[1] for x in more])))
-    return np.concatenate([mix(sums + np.uint64(0x51ED270B * (len(h) - i))) for i, (sums, _) in enumerate(level)])
+def subset_keys(h: np.ndarray, rule: Rule, boundary: int) -> np.ndarray:
+    """A key for every subset that a set can share with a linked one of under ``boundary`` shingles.
+
+    Subset and both sizes make the key: sets of these two sizes that have one in common are linked.
+    """
+    m, n, out = mix(h), len(h), []
+    for partner, size in rule.partners(n):
+        if partner >= boundary:
+            continue
+        left_out = list(combinations(range(n), n - size))
+        gone = m[np.array(left_out, dtype=np.int64).reshape(len(left_out), n - size)]
+        sums = m.sum(dtype=np.uint64) - gone.sum(axis=1, dtype=np.uint64)
+        out.append(mix(sums + mix(np.array([(min(n, partner) << 32) + max(n, partner)], dtype=np.uint64))))
+    return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
+
 
+def rarest(h: np.ndarray, levels: np.ndarray, k: int) -> np.ndarray:
+    """The first ``k`` of a set's sorted hashes by level, then by hash: one order for all sets."""
+    rank = levels[(h & np.uint64(len(levels) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | h >> np.uint64(8)
+    at = np.flatnonzero(rank <= np.partition(rank, k - 1)[k - 1]) if k < len(h) else np.arange(len(h))
+    return h[at[np.argsort(rank[at], kind="stable")][:k]]
 
-def _block_keys(h: np.ndarray, cls: int, count: int, seed: int = 0) -> list[np.ndarray]:
+
+def block_keys(h: np.ndarray, rule: Rule, seed: int) -> np.ndarray:
+    """Keys of a set, h sorted, of which two linked sets share one at least, under each seed.
+
+    Hashes cut the universe into one block more than the shingles in which two
+    linked sets of a class can differ, so these agree on a whole block.
+    """
+    n, edges = len(h), rule.class_edges
+    cls = int(np.searchsorted(edges, n, "right")) - 1
+    out = _blocks_of(h, cls, rule.blocks(edges[cls + 1] - 1), seed)
+    if cls and n <= rule.most_partner(edges[cls] - 1):
+        out += _blocks_of(h, cls - 1, rule.blocks(edges[cls] - 1), seed)
+    return np.unique(np.concatenate(out))
+
+
+def _blocks_of(h: np.ndarray, cls: int, count: int, seed: int) -> list[np.ndarray]:
     """A key for every block that is not empty; another ``seed`` cuts the universe elsewhere.
 
     Two sets that agree on nothing but empty blocks both have one, so each of
@@ -115,7 +159,7 @@ def _block_keys(h: np.ndarray, cls: int, count: int, seed: int = 0) -> list[np.n
     """
     out, k = [], np.arange(count, dtype=np.uint64)
     for cut in range(CUTS):
-        own = np.sort(mix(h + np.uint64(seed * CUTS + cut))) if seed or cut else h
+        own = np.sort(mix(h + np.uint64(seed * CUTS + cut)))
         edge = np.searchsorted(own, np.append(np.zeros(1, np.uint64), (k[1:] * (np.uint64(2**64 - 1) // np.uint64(count)))))
         edge = np.append(edge, len(own))
         total = np.append(np.zeros(1, np.uint64), np.cumsum(mix(own), dtype=np.uint64))
@@ -129,23 +173,13 @@ def _block_keys(h: np.ndarray, cls: int, count: int, seed: int = 0) -> list[np.n
     return out
 
 
-def keys_of(h: np.ndarray, rule: Rule, seed: int = 0) -> np.ndarray:
-    """Keys of a set, h sorted: two linked sets that are not equal share one at least, under each seed."""
-    n, edges = len(h), rule.class_edges
-    out: list[np.ndarray] = []
-    if n < rule.boundary and (rule.left_out(n) or rule.most_partner(n) > n):
-        out.append(_subset_keys(h, rule.left_out(n)))
-    if n >= edges[0]:
-        cls = int(np.searchsorted(edges, n, "right")) - 1
-        out += _block_keys(h, cls, rule.blocks(edges[cls + 1] - 1), seed)
-        if cls and n <= rule.most_partner(edges[cls] - 1):
-            out += _block_keys(h, cls - 1, rule.blocks(edges[cls] - 1), seed)
-    return np.unique(np.concatenate(out)) if out else np.empty(0, dtype=np.uint64)
-
-
 def sketch(h: np.ndarray) -> np.ndarray:
-    """512 bits, each the parity of the shingles that fall on it: two sets differ in as many bits at most as in shingles."""
-    odd = np.bincount((mix(h) & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    """Bits that are each the parity of the shingles that fall on it: two sets differ in as many bits at most as in shingles.
+
+    The upper half folded onto the lower is the sketch of half the width.
+    """
+    width = min(max(LEAST_BITS, 1 << max(len(h) - 1, 0).bit_length()), MOST_BITS)
+    odd = np.bincount((mix(h) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -153,27 +187,72 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
 
 
-_SKETCH = tuple(f"s{i}" for i in range(8))
+_SIG = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sketch", pa.list_(pa.int64())), ("at", pa.int32()), ("counts", pa.binary())])
+
+
+def _digest(h: np.ndarray) -> tuple[int, int]:
+    d = xxhash.xxh3_128_intdigest(h.tobytes())
+    return (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
 
 
 def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
-    """``doc_id, n, h1, h2, s0..s7`` for every row: set size, the set's 128-bit digest, its sketch."""
+    """``doc_id, n, h1, h2, sketch`` for every row: set size, the set's 128-bit digest, its sketch; and, with the other columns
+    null, ``at, counts``: in how many of a task's sets the shingles of each counter are, in rows of ``PER_ROW`` counters."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Words()
+        seen, total, waiting, held = Words(), np.zeros(COUNTERS, np.int64), [], 0
         for b in batches:
-            n, h1, h2, bits = [], [], [], []
+            n, digests, bits, ends = [], [], [], [0]
             for text in b.column(1).to_pylist():
                 h = shingles(text, seen, rule.words)
-                d = xxhash.xxh3_128_intdigest(h.tobytes())
                 n.append(len(h))
-                h1.append((d >> 64) - (1 << 63))
-                h2.append((d & (1 << 64) - 1) - (1 << 63))
+                digests.append(_digest(h))
                 bits.append(sketch(h))
-            wide = np.array(bits, np.int64).reshape(-1, len(_SKETCH))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), *[pa.array(wide[:, i]) for i in range(len(_SKETCH))]], names=["doc_id", "n", "h1", "h2", *_SKETCH])
+                ends.append(ends[-1] + len(bits[-1]))
+                waiting.append((h & np.uint64(COUNTERS - 1)).astype(np.int32))
+                held += len(h)
+                if held >= COUNTERS:
+                    total += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
+                    waiting, held = [], 0
+            flat = np.concatenate(bits) if bits else np.empty(0, np.int64)
+            pair = np.array(digests, np.int64).reshape(-1, 2)
+            none = [pa.nulls(b.num_rows, f.type) for f in list(_SIG)[5:]]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), *none], schema=_SIG)
+        if waiting:
+            total += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
+        packed = [(i, zstandard.compress(total[i * PER_ROW : (i + 1) * PER_ROW].tobytes(), 1)) for i in range(COUNTERS // PER_ROW) if total[i * PER_ROW : (i + 1) * PER_ROW].any()]
+        if packed:
+            none = [pa.nulls(len(packed), f.type) for f in list(_SIG)[:5]]
+            yield pa.RecordBatch.from_arrays([*none, pa.array([i for i, _ in packed], pa.int32()), pa.array([x for _, x in packed], pa.binary())], schema=_SIG)
+
+    return _texts(docs).mapInArrow(sign, "doc_id bigint, n bigint, h1 bigint, h2 bigint, sketch array<bigint>, at int, counts binary")
+
+
+def levels_of(counts: DataFrame) -> np.ndarray:
+    """A byte for each counter that grows with the logarithm of its sum over ``counts(at, counts)``: some MB, whatever the input.
+
+    A task adds up rows as they come, so it holds the counters of its rows only.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                more = np.frombuffer(zstandard.decompress(x), np.int64)
+                total[i] = total[i] + more if i in total else more
+        found = [np.minimum(255, np.rint(STEPS * np.log2(1.0 + x))).astype(np.uint8).tobytes() for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array(found, pa.binary())], names=["at", "levels"])
+
+    out = np.zeros(COUNTERS, np.uint8)
+    for r in counts.repartition(COUNTERS // PER_ROW, "at").mapInArrow(add, "at int, levels binary").collect():
+        out[r["at"] * PER_ROW : (r["at"] + 1) * PER_ROW] = np.frombuffer(r["levels"], np.uint8)
+    return out
+
 
-    return _texts(docs).mapInArrow(sign, "doc_id bigint, n bigint, h1 bigint, h2 bigint, " + ", ".join(f"{x} bigint" for x in _SKETCH))
+def mean_others(levels: np.ndarray) -> float:
+    """Mean number of further sets in the list of a shingle, less those that only share its counter by chance."""
+    n = 2.0 ** (levels / STEPS) - 1
+    return max(0.0, float((n * n).sum() / n.sum() - 1 - n.mean())) if n.any() else 0.0
 
 
 def _marks(ids: DataFrame) -> tuple[int, np.ndarray]:
@@ -192,91 +271,142 @@ def _marked(bits: np.ndarray, at: pa.Array) -> np.ndarray:
     return (bits[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
 
 
-def keyed(docs: DataFrame, copies: DataFrame, rule: Rule) -> DataFrame:
-    """``node, keys`` of one row of each set: all rows but those of ``copies(node, h1, h2)``.
+def keyed(docs: DataFrame, copies: DataFrame, rule: Rule, levels: np.ndarray) -> DataFrame:
+    """``node, n, lists, subsets`` of one row of each set: all rows but those of ``copies(node, h1, h2)``.
 
-    A filter of bounded size tells which rows may be copies; only those are
-    held against the table itself.
+    ``lists`` has the set's rarest shingles in order.  A filter of bounded size
+    tells which rows may be copies; only those are held against the table itself.
     """
     size, marks = _marks(copies.select("node"))
-    shared = docs.sparkSession.sparkContext.broadcast(marks)
+    boundary = rule.boundary(mean_others(levels))
+    spark = docs.sparkSession.sparkContext
+    shared, order = spark.broadcast(marks), spark.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, bits = Words(), shared.value
+        seen, bits, levels = Words(), shared.value, order.value
         for b in batches:
-            keys, h1, h2, ends = [], [], [], [0]
+            n, digests, parts = [], [], ([], [])
             for text in b.column(1).to_pylist():
                 h = shingles(text, seen, rule.words)
-                d = xxhash.xxh3_128_intdigest(h.tobytes())
-                h1.append((d >> 64) - (1 << 63))
-                h2.append((d & (1 << 64) - 1) - (1 << 63))
-                keys.append(keys_of(h, rule).view(np.int64))
-                ends.append(ends[-1] + len(keys[-1]))
-            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(_marked(bits, b.column(2))), lists], names=["node", "h1", "h2", "maybe", "keys"])
+                n.append(len(h))
+                digests.append(_digest(h))
+                large = len(h) and rule.most_partner(len(h)) >= boundary
+                parts[0].append(rarest(h, levels, rule.prefix(len(h))) if large else h[:0])
+                parts[1].append(subset_keys(h, rule, boundary) if len(h) < boundary else h[:0])
+            lists = []
+            for p in parts:
+                ends = np.append(0, np.cumsum([len(x) for x in p])).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(p).view(np.int64) if p else np.empty(0, np.int64))))
+            pair = np.array(digests, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(_marked(bits, b.column(2))), *lists], names=["node", "n", "h1", "h2", "maybe", "lists", "subsets"])
 
     rows = _texts(docs).where("doc_id is not null").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(size)))
-    every = materialize(rows.mapInArrow(run, "node bigint, h1 bigint, h2 bigint, maybe boolean, keys array<bigint>").where(F.size("keys") > 0), "keyed")
-    sure = every.where("not maybe").select("node", "keys")
-    return sure.unionByName(every.where("maybe").join(copies, ["node", "h1", "h2"], "left_anti").select("node", "keys"))
+    every = rows.mapInArrow(run, "node bigint, n bigint, h1 bigint, h2 bigint, maybe boolean, lists array<bigint>, subsets array<bigint>")
+    every = materialize(every.where(F.size("lists") + F.size("subsets") > 0), "keyed")
+    columns = ["node", "n", "lists", "subsets"]
+    sure = every.where("not maybe").select(*columns)
+    return sure.unionByName(every.where("maybe").join(copies, ["node", "h1", "h2"], "left_anti").select(*columns)), every
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
-    """``node, n, shingles`` of the documents in ``ids(node)`` and some others, in one pass without a shuffle."""
+def _read_again(docs: DataFrame, ids: DataFrame, schema: str, cut) -> DataFrame:
+    """``cut(id, text)`` rows of the documents in ``ids(node)`` and some others, in one pass without a shuffle."""
     size, marks = _marks(ids)
     shared = docs.sparkSession.sparkContext.broadcast(marks)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, bits = Words(), shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.array(_marked(bits, b.column(2))))
-            found = [shingles(t, seen, rule.words).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "n", "shingles"])
+            yield cut(b.filter(pa.array(_marked(shared.value, b.column(2)))))
 
     rows = _texts(docs).where("doc_id is not null").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(size)))
-    return materialize(rows.mapInArrow(cut, "node bigint, n bigint, shingles array<bigint>"), "sets")
+    return rows.mapInArrow(run, schema)
 
 
-def near(a: str, b: str, rule: Rule) -> Column:
-    """Whether sizes and sketches allow a link between the rows with these suffixes; true of every link."""
-    n = lambda k: F.col(f"n_{k}")
-    differ = sum((F.bit_count(F.col(f"{x}_{a}").bitwiseXOR(F.col(f"{x}_{b}"))) for x in _SKETCH), F.lit(0))
-    return (100 * F.least(n(a), n(b)) >= rule.percent * F.greatest(n(a), n(b))) & ((100 + rule.percent) * differ <= (100 - rule.percent) * (n(a) + n(b)))
+def sets_of(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
+    """``node, n, shingles`` of the documents in ``ids(node)`` and some others."""
 
+    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
+        seen = Words()
+        found = [shingles(t, seen, rule.words).view(np.int64) for t in b.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "n", "shingles"])
 
-def _side(rows: DataFrame, k: str, *more: str) -> DataFrame:
-    return rows.select(*more, F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", *_SKETCH)])
+    return materialize(_read_again(docs, ids, "node bigint, n bigint, shingles array<bigint>", cut), "sets")
+
+
+def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``node, packed`` of the documents in ``ids(node)`` and some others: texts take a fraction of the room of their sets."""
+
+    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
+        pack = zstandard.ZstdCompressor(3).compress
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([pack((t or "").encode("utf-8", "replace")) for t in b.column(1).to_pylist()], pa.binary())], names=["node", "packed"])
+
+    return _read_again(docs, ids, "node bigint, packed binary", cut)
+
+
+def may_link(rule: Rule, a: str, b: str) -> Column:
+    """Whether sizes ``n_a, n_b`` and places ``pos_a, pos_b`` of a common shingle in the order of both sets allow a link.
+
+    Both have at most so many common shingles before it as the nearer place, and
+    after it as the shorter rest.  A subset key has no place.
+    """
+    n, p = (lambda k: F.col(f"n_{k}")), (lambda k: F.col(f"pos_{k}"))
+    most = F.least(p(a), p(b)) + 1 + F.least(n(a) - p(a) - 1, n(b) - p(b) - 1)
+    sizes = 100 * F.least(n(a), n(b)) >= rule.percent * F.greatest(n(a), n(b))
+    return sizes & F.coalesce((100 + rule.percent) * most >= rule.percent * (n(a) + n(b)), F.lit(True))
+
+
+def differing(a: str, b: str) -> Column:
+    """Bits in which the sketches of two rows differ, the wider one folded to the other's width."""
+    xor = lambda x, y: x.bitwiseXOR(y)
+    half = lambda x: F.zip_with(F.slice(x, F.lit(1), (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, (F.size(x) / 2).cast("int")), xor)
+    x, y = F.col(f"sketch_{a}"), F.col(f"sketch_{b}")
+    one, two = F.when(F.size(x) > F.size(y), half(x)).otherwise(x), F.when(F.size(y) > F.size(x), half(y)).otherwise(y)
+    # sizes that can link and are still two widths apart are only held against each other in full
+    each = F.zip_with(one, two, lambda x, y: F.bit_count(xor(x, y)))
+    return F.when(F.size(one) == F.size(two), F.aggregate(each, F.lit(0), lambda s, x: s + x)).otherwise(0)
+
+
+def near(pairs: DataFrame, slim: DataFrame, rule: Rule) -> DataFrame:
+    """``a, b, differ`` of the ``pairs(a, b)`` whose sizes and sketches allow a link; true of every link.  ``a`` may be in many pairs."""
+    side = lambda k: slim.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}"))
+    centres = pairs.groupBy("a").agg(F.count("*").alias("k")).join(side("a"), "a")
+    both = lookup(pairs.join(side("b"), "b"), centres, ["a"], pairs.count(), "b", "k").where("n_a is not null")
+    both = both.withColumn("differ", differing("a", "b"))
+    fits = (100 + rule.percent) * F.col("differ") <= (100 - rule.percent) * (F.col("n_a") + F.col("n_b"))
+    sizes = 100 * F.least("n_a", "n_b") >= rule.percent * F.greatest("n_a", "n_b")
+    return both.where(sizes & fits).groupBy("a", "b").agg(F.min("differ").alias("differ"), F.max("n_b").alias("n_b"))
 
 
 def lists_of(nodes: DataFrame, n_nodes: int) -> DataFrame:
-    """``key, node, first`` of all lists with two nodes or more, first being the list's smallest node.
+    """``key, node, n, pos, first`` of all lists with two nodes or more, first being the smallest node's ``node, n, pos``.
 
     Lists that a hashed 64th of the nodes shows to be long are dealt by node
     and need their smallest node only; all others meet by key.  Which way a
     list goes has no bearing on the result.
     """
-    listed = nodes.select("node", F.explode("keys").alias("key"))
-    drawn = nodes.where(F.pmod(F.xxhash64("node"), F.lit(64)) == 0).select(F.explode("keys").alias("key"))
-    long = drawn.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") >= max(16, n_nodes // (64 * HOT_SHARE)))
-    hot = [(r["key"],) for r in long.orderBy(F.desc("k"), "key").limit(HOT_SHARE).collect()]
+    explode = lambda df: df.select("node", "n", F.posexplode("lists").alias("pos", "key")).unionByName(df.select("node", "n", F.lit(None).cast("int").alias("pos"), F.explode("subsets").alias("key")))
+    listed = explode(nodes).select("key", "node", F.col("n").cast("int").alias("n"), "pos")
+    drawn = explode(nodes.where(F.pmod(F.xxhash64("node"), F.lit(64)) == 0)).select("key")
+    share = max(HOT_SHARE, 4 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    long = drawn.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") >= max(16, n_nodes // (64 * share)))
+    hot = [(r["key"],) for r in long.orderBy(F.desc("k"), "key").limit(share).collect()]
     names = F.broadcast(nodes.sparkSession.createDataFrame(hot, "key bigint"))
-    whole = Window.partitionBy("key")
+    whole, row = Window.partitionBy("key"), F.struct("node", "n", "pos")
     cold = listed.join(names, "key", "left_anti") if hot else listed
-    out = cold.withColumn("first", F.min("node").over(whole)).withColumn("last", F.max("node").over(whole)).where("first < last").select("key", "node", "first")
+    out = cold.withColumn("first", F.min(row).over(whole)).withColumn("last", F.max("node").over(whole)).where("first.node < last").drop("last")
     if hot:
         held = listed.join(names, "key", "left_semi")
-        first = held.groupBy("key").agg(F.min("node").alias("first"))
-        out = out.unionByName(held.join(F.broadcast(first), "key").select("key", "node", "first"))
-    return materialize(out, "members")
+        first = held.groupBy("key").agg(F.min(row).alias("first"))
+        out = out.unionByName(held.join(F.broadcast(first), "key"))
+    return materialize(out.select("key", "node", "n", "pos", "first"), "members")
 
 
 def shorter(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
-    """``key, node, comp`` with lists of over ``LONGEST`` nodes replaced by their parts.
+    """``key, node, n, pos, comp`` with lists of over ``LONGEST`` nodes replaced by their parts.
 
     Under another seed the members of a list get new keys; linked ones share
     one of these too, so old and new key together make the parts.
     """
+    columns = ["key", "node", "n", "pos", "comp"]
     for seed in range(1, SEEDS + 1):
         long = materialize(members.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > LONGEST), "long")
         n = long.count()
@@ -284,44 +414,59 @@ def shorter(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
             break
         sizes = long.agg(F.sum("k")).first()[0]
         marked = lookup(members, long, ["key"], sizes, "node", "k")
-        inside = marked.where("k is not null").select("key", "node", "comp")
+        inside = marked.where("k is not null").select(*columns)
         sets = sets_of(docs, inside.select("node").distinct(), rule)
 
         def again(batches: Iterator[pa.RecordBatch], seed=seed) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                found = [keys_of(np.asarray(x, np.int64).view(np.uint64), rule, seed).view(np.int64) for x in b.column(1).to_pylist()]
+                found = [block_keys(np.asarray(x, np.int64).view(np.uint64), rule, seed).view(np.int64) for x in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "more"])
 
-        more = sets.select("node", "shingles").mapInArrow(again, "node bigint, more array<bigint>")
-        parts = inside.join(more, "node").select("key", "node", "comp", F.explode("more").alias("part")).select(F.xxhash64("key", "part").alias("key"), "node", "comp")
-        members = materialize(still_open(marked.where("k is null").select("key", "node", "comp").unionByName(parts.distinct())), "open")
+        more = sets.where("n > 0").select("node", "shingles").mapInArrow(again, "node bigint, more array<bigint>")
+        parts = inside.join(more, "node").select(*columns, F.explode("more").alias("part")).withColumn("key", F.xxhash64("key", "part")).drop("part")
+        old, members = members, materialize(still_open(marked.where("k is null").select(*columns).unionByName(parts.distinct())), "open")
+        forget(sets, long, old)
     return members
 
 
 def still_open(members: DataFrame) -> DataFrame:
-    """``key, node, comp`` of the lists that hold two components or more."""
+    """``key, node, comp`` and more of the lists that hold two components or more."""
     split = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     return members.join(split, "key", "left_semi")
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """The linked ones of distinct ``pairs(a, b)``, held against the whole sets; ``a`` may be in many pairs."""
-    pairs = materialize(pairs, "pairs")
-    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), rule)
-    degree = pairs.groupBy("a").agg(F.count("*").alias("k"))
-    left = degree.join(sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a")), "a")
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
-    both = lookup(pairs.join(right, "b"), left, ["a"], pairs.count(), "b", "k", CENTRES).where("n_a is not null")
-    both = both.withColumn("i", F.size(F.array_intersect("s_a", "s_b")))
-    return materialize(both.where(100 * F.col("i") >= rule.percent * (F.col("n_a") + F.col("n_b") - F.col("i"))).select("a", "b").distinct(), "links")
+def _confirmed(group: pa.Table, rule: Rule) -> pa.Table:
+    """``a, b`` of the texts of a group that link with one of its centre's."""
+    seen, unpack = Words(), zstandard.ZstdDecompressor().decompress
+    a, nodes = group["a"][0].as_py(), group["node"].to_pylist()
+    sets = [shingles(unpack(x).decode("utf-8"), seen, rule.words) for x in group["packed"].to_pylist()]
+    centres, out = [h for i, h in zip(nodes, sets, strict=True) if i == a], set()
+    for i, h in zip(nodes, sets, strict=True):
+        for c in centres if i != a and i not in out else ():
+            at = np.searchsorted(c, h)
+            common = int((c[np.minimum(at, len(c) - 1)] == h).sum()) if len(c) else 0
+            if 100 * common >= rule.percent * (len(h) + len(c) - common):
+                out.add(i)
+    return pa.table({"a": pa.array([a] * len(out), pa.int64()), "b": pa.array(sorted(out), pa.int64())})
 
 
-def size_edges(rule: Rule) -> list[int]:
-    """First sizes of classes such that linked sets are in one class or in neighbouring ones."""
-    edges = [1]
-    while edges[-1] < 1 << 40:
-        edges.append(max(2 * edges[-1], rule.most_partner(edges[-1]) + 1))
-    return edges
+def confirm(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+    """The linked ones of distinct ``pairs(a, b, n_b)``, held against the whole texts; ``a`` may be in many pairs.
+
+    The pairs of a centre are split into groups of bounded size, each with the
+    centre's text, so a text moves once for each of its pairs at most.
+    """
+    pairs = materialize(pairs.select("a", "b", "n_b"), "pairs")
+    parts = F.greatest(F.ceil(F.count("*") / GROUP_TEXTS), F.ceil(F.sum("n_b") / GROUP_SHINGLES), F.lit(1)).cast("int")
+    centres = materialize(pairs.groupBy("a").agg(F.count("*").alias("k"), parts.alias("parts")), "centres")
+    placed = lookup(pairs, centres, ["a"], pairs.count(), "b", "k").select("a", F.expr("cast(pmod(xxhash64(b), parts) as int)").alias("part"), F.col("b").alias("node"))
+    placed = placed.unionByName(centres.select("a", F.expr("explode(sequence(0, parts - 1))").alias("part"), F.col("a").alias("node")))
+    texts = packed_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    held = placed.join(texts, "node")
+    found = held.groupBy("a", "part").applyInArrow(lambda t: _confirmed(t, rule), "a bigint, b bigint")
+    links = materialize(found.distinct(), "links")
+    forget(pairs, centres)
+    return links
 
 
 def _tile(table: pa.Table, percent: int) -> pa.Table:
@@ -367,7 +512,7 @@ def links_of(docs: DataFrame, sets: DataFrame, found: DataFrame, rule: Rule) ->
     total = base.groupBy("comp").agg(F.count("*").alias("k"), F.sum("ids").alias("all_ids"))
     base = materialize(lookup(base, total, ["comp"], base.count(), "node", "k"), "grouped")
     two = base.where("k = 2").select("node", (F.col("all_ids") - F.col("ids")).alias("links"))
-    edges = size_edges(rule)
+    edges = rule.class_edges
     cls = lambda n: sum(((F.expr(n) >= e).cast("int") for e in edges[1:]), F.lit(0))
     low, high = f"({rule.percent} * n + 99) div 100", f"100 * n div {rule.percent}"
     many = base.where("k > 2").select("comp", "node", "n", "ids", cls("n").alias("c"), cls(low).alias("c_lo"), cls(high).alias("c_hi"))
@@ -388,8 +533,8 @@ def links_of(docs: DataFrame, sets: DataFrame, found: DataFrame, rule: Rule) ->
     return materialize(two.unionByName(counted).groupBy("node").agg(F.sum("links").alias("links")), "counts")
 
 
-def join(docs: DataFrame, rule: Rule = Rule(), count_links: bool = False) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``, and ``n_links`` if asked for.
+def join(docs: DataFrame, rule: Rule = Rule(), count_links: bool = True) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` and, unless not asked for, ``n_links`` for every row of ``docs(doc_id, text)``.
 
     component_id: smallest doc_id reachable by links, itself included.  A null
     text or one without words has an empty set and stands alone.  Rows with
@@ -399,30 +544,42 @@ def join(docs: DataFrame, rule: Rule = Rule(), count_links: bool = False) -> Dat
     row's, those of equal sets included; an id with several texts counts with
     each.  Other columns are not read; an empty table gives an empty result.
     """
-    sig = materialize(signatures(docs, rule), "sig")
-    nodes = sig.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", *_SKETCH)])
+    signed = materialize(signatures(docs, rule), "sig")
+    sig = signed.where("at is null")
+    nodes = sig.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = materialize(nodes, "nodes")
     n_rows = sig.count()
     again = nodes.where("copies > 1 and node is not null").select("h1", "h2", F.col("node").alias("kept"), "copies")
     copies = lookup(sig.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("node"), "h1", "h2"), again, ["h1", "h2"], n_rows, "node", "copies")
     copies = materialize(copies.where("kept <> node").select("node", "h1", "h2"), "copies")
-    members = lists_of(keyed(docs, copies, rule), nodes.count())
-    slim = nodes.where("node is not null").select("node", "n", *_SKETCH)
-    stars = materialize(members.where("node <> first").groupBy(F.col("first").alias("a"), F.col("node").alias("b")).agg(F.lit(1).alias("one")).select("a", "b"), "stars")
-    centres = stars.groupBy("a").agg(F.count("*").alias("k")).join(_side(slim, "a"), "a")
-    near_stars = lookup(stars.join(_side(slim, "b"), "b"), centres, ["a"], stars.count(), "b", "k").where("n_a is not null").where(near("a", "b", rule))
-    links = confirm(docs, near_stars.select("a", "b").distinct(), rule)
+    keys, written = keyed(docs, copies, rule, levels_of(signed.where("at is not null").select("at", "counts")))
+    members = lists_of(keys, nodes.count())
+    forget(written, copies)
+    slim = nodes.where("node is not null").select("node", "n", "sketch")
+    met = members.where("node <> first.node").select(F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.n").alias("n_a"), F.col("n").alias("n_b"), F.col("first.pos").alias("pos_a"), F.col("pos").alias("pos_b"))
+    stars = materialize(met.where(may_link(rule, "a", "b")).select("a", "b").distinct(), "stars")
+    likely = materialize(near(stars, slim, rule), "likely")
+    # the likeliest centre of each node first, as most nodes need no other
+    best = likely.groupBy("b").agg(F.min_by(F.struct("a", "n_b"), F.struct("differ", "a")).alias("x")).select("x.a", "b", "x.n_b")
+    links = confirm(docs, best, rule)
     found = components(links)
+    degree = likely.groupBy("a").agg(F.count("*").alias("k"))
+    centre = degree.join(found.select(F.col("node").alias("a"), F.col("comp").alias("c_a")), "a")
+    beside = likely.join(found.select(F.col("node").alias("b"), F.col("comp").alias("c_b")), "b", "left")
+    beside = lookup(beside, centre, ["a"], likely.count(), "b", "k").where(~F.coalesce("c_a", "a").eqNullSafe(F.coalesce("c_b", "b")))
+    second = beside.join(best.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "n_b")
     # lists that still hold two components: every pair of theirs that is not yet decided
-    named = members.join(found, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"), (F.col("node") == F.col("first")).alias("head"))
-    open_lists = materialize(still_open(named).where("not head").select("key", "node", "comp"), "open")
+    named = members.join(found, "node", "left").select("key", "node", "n", "pos", F.coalesce("comp", "node").alias("comp"), (F.col("node") == F.col("first.node")).alias("head"))
+    open_lists = materialize(still_open(named).where("not head").drop("head"), "open")
     open_lists = shorter(docs, open_lists, rule)
-    rows = open_lists.join(slim, "node")
-    one, two = _side(rows, "a", "key", F.col("comp").alias("c_a")), _side(rows, "b", "key", F.col("comp").alias("c_b"))
-    rest = one.join(two, (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & near("a", "b", rule)).select("a", "b").distinct()
-    more = confirm(docs, rest, rule)
+    side = lambda k: open_lists.select("key", F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("pos").alias(f"pos_{k}"), F.col("comp").alias(f"c_{k}"))
+    one, two = side("a"), side("b")
+    rest = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & may_link(rule, "a", "b")).select("a", "b").distinct()
+    rest = near(materialize(rest, "rest"), slim, rule)
+    more = confirm(docs, second.unionByName(rest.select("a", "b", "n_b")).groupBy("a", "b").agg(F.max("n_b").alias("n_b")), rule)
     if more.take(1):
-        found = components(links.unionByName(more))
+        old, found = found, components(links.unionByName(more))
+    forget(members, open_lists, stars, likely)
     more_facts, more_columns = [], []
     if count_links:
         ids = sig.where("n > 0 and doc_id is not null").select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").agg(F.count("*").alias("ids"))
@@ -442,7 +599,7 @@ def deduplicate(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     Of repeated rows one stays.  A row with a null doc_id goes if its text
     equals that of a row with an id; of equal texts without ids one stays.
     """
-    found = materialize(join(docs, rule), "components")
+    found = materialize(join(docs, rule, count_links=False), "components")
     ids = docs.select("doc_id").groupBy("doc_id").agg(F.count("*").alias("k"))
     odd = bool(ids.where("k > 1 or doc_id is null").take(1))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
