@@ -58,11 +58,13 @@ def lookup(rows: DataFrame, facts: DataFrame, key: list[str], n_rows: int, sprea
     so their facts are broadcast whatever the input's size; all other keys go
     through a shuffled join.  Rows of hot and null keys pass that join too, dealt
     by the column ``spread`` instead of their key, so the input is read once.
+    The zero that cold keys carry is computed from their count: a literal would
+    be folded out of the join's keys, and hot rows would meet in one task again.
     """
     least = max(HOT_MIN_ROWS, n_rows // share)
     names = [c for c in facts.columns if c not in key]
     hot = facts.where(F.col(count) >= least).select(*[F.col(k).alias(f"_h_{k}") for k in key], F.struct(*names).alias("_hot"))
-    cold = facts.where(F.col(count) < least).select(*[F.col(k).alias(f"_c_{k}") for k in key], F.lit(0).cast("long").alias("_c_s"), F.struct(*names).alias("_cold"))
+    cold = facts.where(F.col(count) < least).select(*[F.col(k).alias(f"_c_{k}") for k in key], F.pmod(F.col(count), F.lit(1)).cast("long").alias("_c_s"), F.struct(*names).alias("_cold"))
     same = lambda p: [F.col(k) == F.col(f"_{p}_{k}") for k in key]
     marked = rows.join(F.broadcast(hot), same("h"), "left").drop(*[f"_h_{k}" for k in key])
     alone = F.col("_hot").isNotNull()

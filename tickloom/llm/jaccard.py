@@ -54,7 +54,9 @@ STEPS = 8
 #: Bits of a sketch: as many as shingles, between these.
 LEAST_BITS, MOST_BITS = 512, 1 << 17
 #: Lists longer than this are cut into parts by further keys, so many times at most, before their pairs are formed.
-LONGEST, SEEDS = 1024, 2
+LONGEST, SEEDS = 4096, 2
+#: Nodes of a list on one side of a tile, about: a list's pairs are formed tile by tile.
+LIST_TILE = 512
 #: Bits of the filters for the documents that are read again, at most.
 FILTER_BITS = 1 << 25
 #: Texts and shingles that are confirmed against one centre in one group, about.
@@ -183,11 +185,20 @@ def sketch(h: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def narrowed(bits: np.ndarray) -> np.ndarray:
+    """The same sketch, folded to the least width."""
+    while len(bits) > LEAST_BITS // 64:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
 
 
-_SIG = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sketch", pa.list_(pa.int64())), ("at", pa.int32()), ("counts", pa.binary())])
+#: Words of a narrow sketch, which every set has; sets of more shingles than its bits have a wide one too.
+_NARROW = tuple(f"s{i}" for i in range(LEAST_BITS // 64))
+_SIG = pa.schema([*((c, pa.int64()) for c in ("doc_id", "n", "h1", "h2", *_NARROW)), ("sketch", pa.list_(pa.int64())), ("at", pa.int32()), ("counts", pa.binary())])
 
 
 def _digest(h: np.ndarray) -> tuple[int, int]:
@@ -196,18 +207,21 @@ def _digest(h: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
-    """``doc_id, n, h1, h2, sketch`` for every row: set size, the set's 128-bit digest, its sketch; and, with the other columns
+    """``doc_id, n, h1, h2, s0.., sketch`` for every row: set size, the set's 128-bit digest, its sketches; and, with the other columns
     null, ``at, counts``: in how many of a task's sets the shingles of each counter are, in rows of ``PER_ROW`` counters."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, total, waiting, held = Words(), np.zeros(COUNTERS, np.int64), [], 0
         for b in batches:
-            n, digests, bits, ends = [], [], [], [0]
+            n, digests, bits, narrow, ends = [], [], [], [], [0]
             for text in b.column(1).to_pylist():
                 h = shingles(text, seen, rule.words)
                 n.append(len(h))
                 digests.append(_digest(h))
                 bits.append(sketch(h))
+                narrow.append(narrowed(bits[-1]))
+                if len(bits[-1]) == len(_NARROW):
+                    bits[-1] = bits[-1][:0]
                 ends.append(ends[-1] + len(bits[-1]))
                 waiting.append((h & np.uint64(COUNTERS - 1)).astype(np.int32))
                 held += len(h)
@@ -215,17 +229,19 @@ def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
                     total += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
                     waiting, held = [], 0
             flat = np.concatenate(bits) if bits else np.empty(0, np.int64)
-            pair = np.array(digests, np.int64).reshape(-1, 2)
-            none = [pa.nulls(b.num_rows, f.type) for f in list(_SIG)[5:]]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), *none], schema=_SIG)
+            pair, narrow = np.array(digests, np.int64).reshape(-1, 2), np.array(narrow, np.int64).reshape(-1, len(_NARROW))
+            none = [pa.nulls(b.num_rows, f.type) for f in list(_SIG)[-2:]]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(n, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), *[pa.array(x) for x in np.ascontiguousarray(narrow.T)], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), *none], schema=_SIG
+            )
         if waiting:
             total += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
         packed = [(i, zstandard.compress(total[i * PER_ROW : (i + 1) * PER_ROW].tobytes(), 1)) for i in range(COUNTERS // PER_ROW) if total[i * PER_ROW : (i + 1) * PER_ROW].any()]
         if packed:
-            none = [pa.nulls(len(packed), f.type) for f in list(_SIG)[:5]]
+            none = [pa.nulls(len(packed), f.type) for f in list(_SIG)[:-2]]
             yield pa.RecordBatch.from_arrays([*none, pa.array([i for i, _ in packed], pa.int32()), pa.array([x for _, x in packed], pa.binary())], schema=_SIG)
 
-    return _texts(docs).mapInArrow(sign, "doc_id bigint, n bigint, h1 bigint, h2 bigint, sketch array<bigint>, at int, counts binary")
+    return _texts(docs).mapInArrow(sign, "doc_id bigint, n bigint, h1 bigint, h2 bigint, " + ", ".join(f"{c} bigint" for c in _NARROW) + ", sketch array<bigint>, at int, counts binary")
 
 
 def levels_of(counts: DataFrame) -> np.ndarray:
@@ -354,6 +370,12 @@ def may_link(rule: Rule, a: str, b: str) -> Column:
     return sizes & F.coalesce((100 + rule.percent) * most >= rule.percent * (n(a) + n(b)), F.lit(True))
 
 
+def sketches_fit(rule: Rule, a: str, b: str) -> Column:
+    """Whether narrow sketches allow a link; true of every link."""
+    differ = sum((F.bit_count(F.col(f"{x}_{a}").bitwiseXOR(F.col(f"{x}_{b}"))) for x in _NARROW), F.lit(0))
+    return (100 + rule.percent) * differ <= (100 - rule.percent) * (F.col(f"n_{a}") + F.col(f"n_{b}"))
+
+
 def differing(a: str, b: str) -> Column:
     """Bits in which the sketches of two rows differ, the wider one folded to the other's width."""
     xor = lambda x, y: x.bitwiseXOR(y)
@@ -367,7 +389,7 @@ def differing(a: str, b: str) -> Column:
 
 def near(pairs: DataFrame, slim: DataFrame, rule: Rule) -> DataFrame:
     """``a, b, differ`` of the ``pairs(a, b)`` whose sizes and sketches allow a link; true of every link.  ``a`` may be in many pairs."""
-    side = lambda k: slim.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}"))
+    side = lambda k: slim.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.when(F.size("sketch") > 0, F.col("sketch")).otherwise(F.array(*_NARROW)).alias(f"sketch_{k}"))
     centres = pairs.groupBy("a").agg(F.count("*").alias("k")).join(side("a"), "a")
     both = lookup(pairs.join(side("b"), "b"), centres, ["a"], pairs.count(), "b", "k").where("n_a is not null")
     both = both.withColumn("differ", differing("a", "b"))
@@ -435,6 +457,24 @@ def still_open(members: DataFrame) -> DataFrame:
     return members.join(split, "key", "left_semi")
 
 
+def pairs_of(members: DataFrame, slim: DataFrame, rule: Rule) -> DataFrame:
+    """Distinct pairs ``a < b`` of different components in a list of ``members(key, node, n, pos, comp)`` that places and narrow sketches allow.
+
+    A list of many nodes is cut into parts by hash, and each two parts make a
+    tile, so no list is dealt to one task.
+    """
+    rows = materialize(members.join(slim.select("node", *_NARROW), "node"), "sided")
+    size = materialize(rows.groupBy("key").agg(F.count("*").alias("k")).withColumn("parts", F.ceil(F.col("k") / LIST_TILE).cast("int")).where("parts > 1"), "long")
+    placed = lookup(rows, size, ["key"], rows.count(), "node", "k").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    placed = placed.withColumn("part", F.expr("cast(pmod(xxhash64(node), parts) as int)"))
+    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("n", "pos", "comp", *_NARROW)]
+    one = placed.select("key", F.col("part").alias("p"), F.expr("explode(sequence(part, parts - 1))").alias("q"), F.col("node").alias("a"), *side("a"))
+    two = placed.select("key", F.expr("explode(sequence(0, part))").alias("p"), F.col("part").alias("q"), F.col("node").alias("b"), *side("b"))
+    same = [one[c] == two[c] for c in ("key", "p", "q")]
+    met = one.join(two, [*same, (one["p"] < one["q"]) | (F.col("a") < F.col("b")), F.col("comp_a") != F.col("comp_b"), may_link(rule, "a", "b"), sketches_fit(rule, "a", "b")])
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _confirmed(group: pa.Table, rule: Rule) -> pa.Table:
     """``a, b`` of the texts of a group that link with one of its centre's."""
     seen, unpack = Words(), zstandard.ZstdDecompressor().decompress
@@ -546,7 +586,7 @@ def join(docs: DataFrame, rule: Rule = Rule(), count_links: bool = True) -> Data
     """
     signed = materialize(signatures(docs, rule), "sig")
     sig = signed.where("at is null")
-    nodes = sig.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = sig.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", *_NARROW, "sketch")])
     nodes = materialize(nodes, "nodes")
     n_rows = sig.count()
     again = nodes.where("copies > 1 and node is not null").select("h1", "h2", F.col("node").alias("kept"), "copies")
@@ -555,7 +595,7 @@ def join(docs: DataFrame, rule: Rule = Rule(), count_links: bool = True) -> Data
     keys, written = keyed(docs, copies, rule, levels_of(signed.where("at is not null").select("at", "counts")))
     members = lists_of(keys, nodes.count())
     forget(written, copies)
-    slim = nodes.where("node is not null").select("node", "n", "sketch")
+    slim = nodes.where("node is not null").select("node", "n", *_NARROW, "sketch")
     met = members.where("node <> first.node").select(F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.n").alias("n_a"), F.col("n").alias("n_b"), F.col("first.pos").alias("pos_a"), F.col("pos").alias("pos_b"))
     stars = materialize(met.where(may_link(rule, "a", "b")).select("a", "b").distinct(), "stars")
     likely = materialize(near(stars, slim, rule), "likely")
@@ -572,10 +612,7 @@ def join(docs: DataFrame, rule: Rule = Rule(), count_links: bool = True) -> Data
     named = members.join(found, "node", "left").select("key", "node", "n", "pos", F.coalesce("comp", "node").alias("comp"), (F.col("node") == F.col("first.node")).alias("head"))
     open_lists = materialize(still_open(named).where("not head").drop("head"), "open")
     open_lists = shorter(docs, open_lists, rule)
-    side = lambda k: open_lists.select("key", F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("pos").alias(f"pos_{k}"), F.col("comp").alias(f"c_{k}"))
-    one, two = side("a"), side("b")
-    rest = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & may_link(rule, "a", "b")).select("a", "b").distinct()
-    rest = near(materialize(rest, "rest"), slim, rule)
+    rest = near(materialize(pairs_of(open_lists, slim, rule), "rest"), slim, rule)
     more = confirm(docs, second.unionByName(rest.select("a", "b", "n_b")).groupBy("a", "b").agg(F.max("n_b").alias("n_b")), rule)
     if more.take(1):
         old, found = found, components(links.unionByName(more))
