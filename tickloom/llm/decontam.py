@@ -26,22 +26,32 @@ MIN_COVERAGE = 0.5
 #: UTF-8 bytes of benchmark text in a broadcast block, about.
 BLOCK_BYTES = 16 << 20
 _WORD = re.compile(r"\w+")
-_P = np.uint64(0x9E3779B97F4A7C15)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def _rolling(ids: np.ndarray, size: int) -> np.ndarray:
-    """Karp-Rabin hashes of all windows of ``size``, modulo 2**64; ids are mixed first, so they need not be spread."""
-    x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(32)
-    out, done = x[: len(x) - size + 1].copy(), 1
-    while done < size:
-        out = out * _P + x[done : len(x) - size + 1 + done]
-        done += 1
-    return out
+class Rolling:
+    """Karp-Rabin hashes modulo 2**64 of the windows of a sequence, of any length from one running sum.
+
+    The sum takes each word times a power of the base; the difference of two of
+    its values, brought back by the inverse power, is the hash of the words
+    between, wherever they stand.  Ids are mixed first, so they need not be spread.
+    """
+
+    def __init__(self, ids: np.ndarray):
+        x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        power = lambda base: np.cumprod(np.append(np.uint64(1), np.full(max(len(x) - 1, 0), base)), dtype=np.uint64)[: len(x)]
+        self.total = np.append(np.uint64(0), np.cumsum(x * power(_BASE), dtype=np.uint64))
+        self.back = power(_INVERSE)
+
+    def windows(self, size: int) -> np.ndarray:
+        n = len(self.back) - size + 1
+        return (self.total[size:] - self.total[:n]) * self.back[:n]
 
 
 def _open(marked: np.ndarray, size: int) -> np.ndarray:
@@ -50,10 +60,10 @@ def _open(marked: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(total[size:] == total[:-size])
 
 
-def _matches(a: np.ndarray, b: np.ndarray, mark_a: np.ndarray, mark_b: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _matches(a: Rolling, b: Rolling, mark_a: np.ndarray, mark_b: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Open windows of both sides whose hash the other side has too: starts and hashes."""
     at_a, at_b = _open(mark_a, size), _open(mark_b, size)
-    h_a, h_b = _rolling(a, size)[at_a], _rolling(b, size)[at_b]
+    h_a, h_b = a.windows(size)[at_a], b.windows(size)[at_b]
     in_a, in_b = np.isin(h_a, h_b), np.isin(h_b, h_a)
     return at_a[in_a], h_a[in_a], at_b[in_b], h_b[in_b]
 
@@ -65,18 +75,19 @@ def tile(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]]
     runs of every smaller length in it, so the longest is found by bisection.
     """
     mark_a, mark_b, out = np.zeros(len(a), bool), b < 0, []
+    roll_a, roll_b = Rolling(a), Rolling(b)
     high = min(len(a), len(b))
     while high >= least:
         low, size = least, 0
         while low <= high:
             mid = (low + high) // 2 if size else low
-            if len(_matches(a, b, mark_a, mark_b, mid)[0]):
+            if len(_matches(roll_a, roll_b, mark_a, mark_b, mid)[0]):
                 size, low = mid, mid + 1
             else:
                 high = mid - 1
         if not size:
             break
-        at_a, h_a, at_b, h_b = _matches(a, b, mark_a, mark_b, size)
+        at_a, h_a, at_b, h_b = _matches(roll_a, roll_b, mark_a, mark_b, size)
         places = defaultdict(list)
         for p, h in zip(at_b.tolist(), h_b.tolist(), strict=True):
             places[h].append(p)
@@ -104,7 +115,7 @@ class Seeds:
                 self.items.append((item, ids, min(least, len(ids))))
         self.tables = {}
         for size in sorted({s for _, _, s in self.items}):
-            found = [(int(h), i) for i, (_, ids, s) in enumerate(self.items) if s == size for h in np.unique(_rolling(ids, size))]
+            found = [(int(h), i) for i, (_, ids, s) in enumerate(self.items) if s == size for h in np.unique(Rolling(ids).windows(size))]
             found.sort()
             self.tables[size] = np.array([h for h, _ in found], dtype=np.uint64), np.array([i for _, i in found], dtype=np.int64)
 
@@ -112,13 +123,14 @@ class Seeds:
         """``item, coverage, words covered, tiles`` for every item that shares a seed with the text."""
         get = self.vocabulary.get
         ids = np.array([get(w, -1) for w in words(text)], dtype=np.int64)
+        rolling = Rolling(ids) if len(ids) else None
         for size, (hashes, owner) in self.tables.items():
             if len(ids) < size:
                 continue
             whole = _open(ids < 0, size)
             if not len(whole):
                 continue
-            own = _rolling(ids, size)[whole]
+            own = rolling.windows(size)[whole]
             lo, hi = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
             by_item = defaultdict(list)
             for p, x, y in zip(whole[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
