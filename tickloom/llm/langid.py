@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 RANKS = 400
 #: Labelled documents learned from, for each language at most (those with the smallest hashed id).
 SAMPLE = 800
-#: Languages learned at most, the most frequent first.
-LANGUAGES = 500
+#: Languages whose ranks are held in one table; any number is learned.
+TOGETHER = 100
 UNKNOWN = "und"
 _BLANK = 32
 
@@ -68,24 +68,36 @@ def ranked(code: np.ndarray, n: np.ndarray, most: int) -> np.ndarray:
 
 
 class Profiles:
+    """Profiles of any number of languages, in tables of ``TOGETHER`` languages each."""
+
     def __init__(self, rows: list[tuple[str, int, int]], ranks: int):
         """rows: (language, code, rank from 0)."""
-        self.ranks, self.langs = ranks, sorted({r[0] for r in rows})
-        self.codes = np.array(sorted({r[1] for r in rows}), dtype=np.int64)
-        self.place = np.full((len(self.codes) + 1, len(self.langs)), -1, dtype=np.int64)
-        at, col = {c: i for i, c in enumerate(self.codes.tolist())}, {v: i for i, v in enumerate(self.langs)}
-        for lang, code, rank in rows:
-            self.place[at[code], col[lang]] = rank
+        self.ranks, self.langs, self.tables = ranks, sorted({r[0] for r in rows}), []
+        for k in range(0, len(self.langs), TOGETHER):
+            col = {v: i for i, v in enumerate(self.langs[k : k + TOGETHER])}
+            own = [r for r in rows if r[0] in col] if len(self.langs) > TOGETHER else rows
+            codes = np.array(sorted({r[1] for r in own}), dtype=np.int64)
+            place, at = np.full((len(codes) + 1, len(col)), -1, dtype=np.int32), {c: i for i, c in enumerate(codes.tolist())}
+            for lang, code, rank in own:
+                place[at[code], col[lang]] = rank
+            self.tables.append((codes, place))
+
+    def distances(self, own: np.ndarray) -> np.ndarray:
+        """Out-of-place distance of a ranked list of codes to each language."""
+        out = []
+        for codes, table in self.tables:
+            i = np.searchsorted(codes, own)
+            i[i == len(codes)] = 0
+            i[codes[i] != own] = len(codes)
+            place = table[i]
+            out.append(np.where(place < 0, self.ranks, np.abs(place - np.arange(len(own))[:, None])).sum(axis=0))
+        return np.concatenate(out)
 
     def nearest(self, text: str | None) -> tuple[str, float]:
         own = ranked(*counts(text), self.ranks) if text else ()
         if not len(own) or not self.langs:
             return UNKNOWN, 0.0
-        i = np.searchsorted(self.codes, own)
-        i[i == len(self.codes)] = 0
-        i[self.codes[i] != own] = len(self.codes)
-        place = self.place[i]
-        away = np.where(place < 0, self.ranks, np.abs(place - np.arange(len(own))[:, None])).sum(axis=0)
+        away = self.distances(own)
         best = int(away.argmin())  # of equal distances the first language by name
         return self.langs[best], float(1 - away[best] / (self.ranks * len(own)))
 
@@ -94,16 +106,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, ranks: int = RANKS, sample: int = SAMPLE, languages: int = LANGUAGES) -> Profiles:
+def train(docs: DataFrame, ranks: int = RANKS, sample: int = SAMPLE) -> Profiles:
     """Profiles from the labelled rows of ``docs(doc_id, text, lang)`` that are not held out.
 
-    At most ``sample`` rows of each of at most ``languages`` languages.  Rows
-    with a null doc_id, text or lang teach nothing; without any row there is no
-    profile.
+    At most ``sample`` rows of each language, and every language.  Rows with a
+    null doc_id, text or lang teach nothing; without any row there is no profile.
     """
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", "cast(lang as string) lang")
     rows = rows.where("doc_id is not null and lang is not null").where(~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return Profiles([], ranks)
     # a hash threshold leaves some four times the sample before rows are ranked within a language
