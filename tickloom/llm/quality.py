@@ -1,9 +1,10 @@
 """Quality selection by importance resampling.
 
 Hashed words and word pairs give two bags: one of target texts (labelled good),
-one of all texts.  A document's weight is the mean log ratio of the two models
-over its n-grams.  Gumbel noise drawn from the id is added and the largest keep
-their documents: a sample without replacement in proportion to the weights.
+one of all texts.  A document's weight is the ratio of its probabilities under
+the two models: the log ratios of its n-grams add up.  Gumbel noise drawn from the
+id is added to the log weight and the largest keep their documents: a sample
+without replacement in proportion to the weights.
 """
 
 from __future__ import annotations
@@ -23,8 +24,6 @@ BUCKETS = 1 << 14
 SAMPLE = 4000
 #: Share of the documents that is kept.
 KEEP = 0.5
-#: Weight of the mean log ratio against the noise.
-SHARPNESS = 40.0
 SMOOTHING = 1.0
 SEED = 17
 _BINS = 4096
@@ -80,14 +79,14 @@ def train(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sample: in
 
 
 def weigh(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """``doc_id, log_weight``: mean log ratio of a document's n-grams, null where it has no word."""
+    """``doc_id, log_weight``: sum of the log ratios of a document's n-grams, null where it has no word."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, own = Words(), shared.value
         for b in batches:
             at = [features(t, seen, len(own)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([float(own[x].mean()) if len(x) else None for x in at], pa.float64())], names=["doc_id", "log_weight"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([float(own[x].sum()) if len(x) else None for x in at], pa.float64())], names=["doc_id", "log_weight"])
 
     return _texts(docs).mapInArrow(score, "doc_id bigint, log_weight double")
 
@@ -133,18 +132,18 @@ def threshold(scores: DataFrame, k: int) -> tuple[float, int] | None:
     return lo, low
 
 
-def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP, sharpness: float = SHARPNESS, seed: int = SEED) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP, seed: int = SEED) -> DataFrame:
     """``doc_id, log_weight, key, selected`` for every row of ``docs(doc_id, text)``.
 
     selected: whether the row is among the ``keep`` share with the largest key,
-    ``sharpness * log_weight`` plus Gumbel noise of its id; equal keys go by
+    ``log_weight`` plus Gumbel noise of its id; equal keys go by
     doc_id, and repeated rows, whose keys and ids are equal, stand or fall
     together.  A null text or one without words has null weight and key and is
     not selected, nor is a row with a null doc_id.  Other columns are not read;
     an empty table gives an empty result.
     """
     found = materialize(weigh(docs, train(docs, labels)), "weights")
-    keyed = found.withColumn("key", F.when(F.col("doc_id").isNotNull(), sharpness * F.col("log_weight") + gumbel(F.col("doc_id"), seed)))
+    keyed = found.withColumn("key", F.when(F.col("doc_id").isNotNull(), F.col("log_weight") + gumbel(F.col("doc_id"), seed)))
     scores = keyed.where("key is not null").select("key", "doc_id")
     at = threshold(scores, int(round(keep * scores.count())))
     if at is None:
