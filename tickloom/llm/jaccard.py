@@ -57,6 +57,8 @@ LEAST_BITS, MOST_BITS = 512, 1 << 17
 LONGEST, SEEDS = 4096, 2
 #: Nodes of a list on one side of a tile, about: a list's pairs are formed tile by tile.
 LIST_TILE = 512
+#: Rounds in which only the likeliest pair of a node and a component is confirmed.
+ROUNDS = 2
 #: Bits of the filters for the documents that are read again, at most.
 FILTER_BITS = 1 << 25
 #: Texts and shingles that are confirmed against one centre in one group, about.
@@ -211,7 +213,7 @@ def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
     null, ``at, counts``: in how many of a task's sets the shingles of each counter are, in rows of ``PER_ROW`` counters."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total, waiting, held = Words(), np.zeros(COUNTERS, np.int64), [], 0
+        seen, total = Words(), np.zeros(COUNTERS, np.uint32)
         for b in batches:
             n, digests, bits, narrow, ends = [], [], [], [], [0]
             for text in b.column(1).to_pylist():
@@ -223,19 +225,13 @@ def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
                 if len(bits[-1]) == len(_NARROW):
                     bits[-1] = bits[-1][:0]
                 ends.append(ends[-1] + len(bits[-1]))
-                waiting.append((h & np.uint64(COUNTERS - 1)).astype(np.int32))
-                held += len(h)
-                if held >= COUNTERS:
-                    total += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
-                    waiting, held = [], 0
+                np.add.at(total, (h & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
             flat = np.concatenate(bits) if bits else np.empty(0, np.int64)
             pair, narrow = np.array(digests, np.int64).reshape(-1, 2), np.array(narrow, np.int64).reshape(-1, len(_NARROW))
             none = [pa.nulls(b.num_rows, f.type) for f in list(_SIG)[-2:]]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), *[pa.array(x) for x in np.ascontiguousarray(narrow.T)], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), *none], schema=_SIG
             )
-        if waiting:
-            total += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
         packed = [(i, zstandard.compress(total[i * PER_ROW : (i + 1) * PER_ROW].tobytes(), 1)) for i in range(COUNTERS // PER_ROW) if total[i * PER_ROW : (i + 1) * PER_ROW].any()]
         if packed:
             none = [pa.nulls(len(packed), f.type) for f in list(_SIG)[:-2]]
@@ -254,7 +250,7 @@ def levels_of(counts: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                more = np.frombuffer(zstandard.decompress(x), np.int64)
+                more = np.frombuffer(zstandard.decompress(x), np.uint32).astype(np.int64)
                 total[i] = total[i] + more if i in total else more
         found = [np.minimum(255, np.rint(STEPS * np.log2(1.0 + x))).astype(np.uint8).tobytes() for x in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array(found, pa.binary())], names=["at", "levels"])
@@ -475,6 +471,33 @@ def pairs_of(members: DataFrame, slim: DataFrame, rule: Rule) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def minorities(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``key, node, n, pos, comp, major``: of each list with several components the nodes outside its largest, ``major``."""
+    named = members.join(found, "node", "left").select("key", "node", "n", "pos", F.coalesce("comp", "node").alias("comp"))
+    held = named.groupBy("key", "comp").agg(F.count("*").alias("k"))
+    major = held.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1").select(F.col("key").alias("of"), "major")
+    return named.join(major, (F.col("key") == F.col("of")) & (F.col("comp") != F.col("major"))).drop("of")
+
+
+def pairs_with(minor: DataFrame, found: DataFrame, slim: DataFrame, rule: Rule) -> DataFrame:
+    """Distinct pairs ``a < b`` of a node with the members of a component that is the largest of a list of its, as sizes and narrow sketches allow.
+
+    A text in many lists with the same component meets each member once.  Large
+    components are cut into parts by hash.
+    """
+    every = slim.select("node", "n", *_NARROW).join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    size = every.groupBy("comp").agg(F.count("*").alias("k")).withColumn("parts", F.ceil(F.col("k") / LIST_TILE).cast("int"))
+    size = materialize(size.where("k > 1"), "sizes")
+    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("n", *_NARROW)]
+    asked = minor.select("node", F.col("major").alias("comp")).distinct().join(slim.select("node", "n", *_NARROW), "node")
+    asked = lookup(asked, size, ["comp"], slim.count(), "node", "k").select("comp", F.expr("explode(sequence(0, coalesce(parts, 1) - 1))").alias("part"), F.col("node").alias("a"), *side("a"))
+    placed = lookup(every, size, ["comp"], slim.count(), "node", "k")
+    placed = placed.select(F.col("comp").alias("of"), F.expr("cast(pmod(xxhash64(node), coalesce(parts, 1)) as int)").alias("at"), F.col("node").alias("b"), *side("b"))
+    sizes = 100 * F.least("n_a", "n_b") >= rule.percent * F.greatest("n_a", "n_b")
+    met = asked.join(placed, [F.col("comp") == F.col("of"), F.col("part") == F.col("at"), F.col("a") != F.col("b"), sizes, sketches_fit(rule, "a", "b")])
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _confirmed(group: pa.Table, rule: Rule) -> pa.Table:
     """``a, b`` of the texts of a group that link with one of its centre's."""
     seen, unpack = Words(), zstandard.ZstdDecompressor().decompress
@@ -573,6 +596,37 @@ def links_of(docs: DataFrame, sets: DataFrame, found: DataFrame, rule: Rule) ->
     return materialize(two.unionByName(counted).groupBy("node").agg(F.sum("links").alias("links")), "counts")
 
 
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """``a, b, n_b, differ, c_a`` of the pairs whose ends are in different components of ``found(node, comp)``."""
+    centres = pairs.groupBy("a").agg(F.count("*").alias("k")).join(found.select(F.col("node").alias("a"), F.col("comp").alias("c")), "a")
+    sided = pairs.select("a", "b", "n_b", "differ").join(found.select(F.col("node").alias("b"), F.col("comp").alias("c_b")), "b", "left")
+    both = lookup(sided, centres, ["a"], pairs.count(), "b", "k").withColumn("c_a", F.coalesce("c", "a"))
+    return both.where(F.col("c_a") != F.coalesce("c_b", "b")).select("a", "b", "n_b", "differ", "c_a")
+
+
+def settle(docs: DataFrame, pairs: DataFrame, links: DataFrame | None, rule: Rule, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Links and components after ``pairs(a, b, n_b, differ)`` are decided, as far as these need it.
+
+    Of each node's pairs with a component the likeliest is confirmed first;
+    pairs whose ends have come together need no look at the texts.  What is
+    left after ``ROUNDS`` rounds is confirmed whole.
+    """
+    for k in range(ROUNDS + 1):
+        pairs = materialize(_apart(pairs, found) if found is not None else pairs.withColumn("c_a", F.lit(0).cast("long")), "apart")
+        if links is not None and not pairs.take(1):
+            break
+        picked = pairs
+        if k < ROUNDS:
+            one = pairs.groupBy("b", "c_a").agg(F.min_by(F.struct("a", "n_b"), F.struct("differ", "a")).alias("x"))
+            picked = materialize(one.select("x.a", "b", "x.n_b"), "picked")
+        new = confirm(docs, picked, rule)
+        pairs = pairs.join(picked.select("a", "b"), ["a", "b"], "left_anti")
+        if links is None or new.take(1):
+            links = new if links is None else links.unionByName(new)
+            found = components(links)
+    return links, found
+
+
 def join(docs: DataFrame, rule: Rule = Rule(), count_links: bool = True) -> DataFrame:
     """``doc_id, n_shingles, component_id`` and, unless not asked for, ``n_links`` for every row of ``docs(doc_id, text)``.
 
@@ -599,24 +653,14 @@ def join(docs: DataFrame, rule: Rule = Rule(), count_links: bool = True) -> Data
     met = members.where("node <> first.node").select(F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.n").alias("n_a"), F.col("n").alias("n_b"), F.col("first.pos").alias("pos_a"), F.col("pos").alias("pos_b"))
     stars = materialize(met.where(may_link(rule, "a", "b")).select("a", "b").distinct(), "stars")
     likely = materialize(near(stars, slim, rule), "likely")
-    # the likeliest centre of each node first, as most nodes need no other
-    best = likely.groupBy("b").agg(F.min_by(F.struct("a", "n_b"), F.struct("differ", "a")).alias("x")).select("x.a", "b", "x.n_b")
-    links = confirm(docs, best, rule)
-    found = components(links)
-    degree = likely.groupBy("a").agg(F.count("*").alias("k"))
-    centre = degree.join(found.select(F.col("node").alias("a"), F.col("comp").alias("c_a")), "a")
-    beside = likely.join(found.select(F.col("node").alias("b"), F.col("comp").alias("c_b")), "b", "left")
-    beside = lookup(beside, centre, ["a"], likely.count(), "b", "k").where(~F.coalesce("c_a", "a").eqNullSafe(F.coalesce("c_b", "b")))
-    second = beside.join(best.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "n_b")
+    links, found = settle(docs, likely, None, rule)
     # lists that still hold two components: every pair of theirs that is not yet decided
-    named = members.join(found, "node", "left").select("key", "node", "n", "pos", F.coalesce("comp", "node").alias("comp"), (F.col("node") == F.col("first.node")).alias("head"))
-    open_lists = materialize(still_open(named).where("not head").drop("head"), "open")
-    open_lists = shorter(docs, open_lists, rule)
-    rest = near(materialize(pairs_of(open_lists, slim, rule), "rest"), slim, rule)
-    more = confirm(docs, second.unionByName(rest.select("a", "b", "n_b")).groupBy("a", "b").agg(F.max("n_b").alias("n_b")), rule)
-    if more.take(1):
-        old, found = found, components(links.unionByName(more))
-    forget(members, open_lists, stars, likely)
+    minor = materialize(minorities(members, found), "minor")
+    few = shorter(docs, materialize(still_open(minor.select("key", "node", "n", "pos", "comp")), "open"), rule)
+    rest = pairs_of(few, slim, rule).unionByName(pairs_with(minor, found, slim, rule)).distinct()
+    rest = near(materialize(rest, "rest"), slim, rule)
+    links, found = settle(docs, rest, links, rule, found)
+    forget(members, minor, few, stars, likely)
     more_facts, more_columns = [], []
     if count_links:
         ids = sig.where("n > 0 and doc_id is not null").select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").agg(F.count("*").alias("ids"))

@@ -11,7 +11,7 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 class Words(dict):
     """Hash of each word seen, kept while there are at most ``most``."""
 
-    most = 1 << 20
+    most = 1 << 18
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
