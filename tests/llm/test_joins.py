@@ -285,3 +285,10 @@ def test_grouping_is_by_hash_not_order():
 
         seen[shingles(t, Words()).tobytes()].append(i)
     assert sorted(seen.values()) == [[0, 1], [2]]
+
+
+def test_boundary_is_bounded_however_long_the_lists():
+    for rule in (THREE, FIVE):
+        at = [rule.boundary(jaccard.pairs_cost(x)) for x in (0.0, 0.3, 1.0, 1e3, 1e9)]
+        assert at == sorted(at) and at[2] == at[4]
+        assert rule.subsets(at[4] - 1) <= rule.prefix(at[4] - 1) * (1 + jaccard.PAIR_COST)

@@ -9,7 +9,8 @@ in the lists of its first few, so many that two linked sets meet in one.  How ra
 a shingle is comes from counts over all sets, in a table of fixed size; a shingle
 of a passage that many texts share comes last, so its list is hardly ever kept.
 The boundary between the two is where a set's subsets come to cost more than its
-lists, whose mean length is measured on the same counts.
+lists: their entries and the candidates that these make, one each at most, as the
+mean length of lists measured on the same counts has it.
 
 Equal sets are one node from the start.  In each list all nodes are first held
 against the smallest only; pairs within a component found so are not looked at
@@ -57,6 +58,8 @@ LEAST_BITS, MOST_BITS = 512, 1 << 17
 LONGEST, SEEDS = 4096, 2
 #: Nodes of a list on one side of a tile, about: a list's pairs are formed tile by tile.
 LIST_TILE = 512
+#: What a candidate pair costs in rows of a list: its ids, sizes and narrow sketches against key, node, size and place.
+PAIR_COST = (16 + 2 * (8 + LEAST_BITS // 8)) / 24
 #: Rounds in which only the likeliest pair of a node and a component is confirmed.
 ROUNDS = 2
 #: Bits of the filters for the documents that are read again, at most.
@@ -98,7 +101,7 @@ class Rule:
         return sum(comb(n, c) for _, c in self.partners(n))
 
     def boundary(self, others: float) -> int:
-        """Smallest size whose subsets cost more than its lists, a list costing its entry and ``others`` further ones."""
+        """Smallest size whose subsets cost more than its lists, an entry of a list costing itself and ``others`` further rows."""
         n = 1
         while self.subsets(n) <= self.prefix(n) * (1 + others):
             n += 1
@@ -267,6 +270,16 @@ def mean_others(levels: np.ndarray) -> float:
     return max(0.0, float((n * n).sum() / n.sum() - 1 - n.mean())) if n.any() else 0.0
 
 
+def pairs_cost(others: float) -> float:
+    """What an entry of a list costs beside its row, in such rows, where lists hold ``others`` further sets on average.
+
+    However long its list, a set makes one candidate there: with the list's
+    smallest node.  The share of entries that meet another set is ``others`` at
+    most, and 1 at most, so the boundary does not move up with the input.
+    """
+    return PAIR_COST * min(1.0, others)
+
+
 def _marks(ids: DataFrame) -> tuple[int, np.ndarray]:
     """Bits set for the hashed ids: a filter of ``FILTER_BITS`` at most that knows all of them, and takes some others for them."""
     size = min(FILTER_BITS, 1 << max(10, (16 * ids.count()).bit_length()))
@@ -290,7 +303,7 @@ def keyed(docs: DataFrame, copies: DataFrame, rule: Rule, levels: np.ndarray) ->
     tells which rows may be copies; only those are held against the table itself.
     """
     size, marks = _marks(copies.select("node"))
-    boundary = rule.boundary(mean_others(levels))
+    boundary = rule.boundary(pairs_cost(mean_others(levels)))
     spark = docs.sparkSession.sparkContext
     shared, order = spark.broadcast(marks), spark.broadcast(levels)
 
