@@ -276,7 +276,7 @@ def test_fast_and_general_paths_agree(monkeypatch):
     rgb = np.random.default_rng(1).integers(0, 60, (5, 64, 3)).astype(np.uint8)
     data = webp.encode(rgb)
     fast = webp.decode(data)
-    monkeypatch.setattr(webp, "_even_pixels", lambda *a: None)
+    monkeypatch.setattr(webp._Ahead, "run", lambda *a: None)
     assert (webp.decode(data) == fast).all()
 
 
@@ -287,6 +287,70 @@ def test_encoder_for_every_alphabet(n):
     assert (np.stack([samples >> 16 & 255, samples >> 8 & 255, samples & 255], -1) == rgb).all() and (samples >> 24 == 255).all()
 
 
+def used_features(monkeypatch, data):
+    """Pixels of a file, and the names of the features that decoding it went through."""
+    used = set()
+
+    def spy(holder, name, label):
+        before = getattr(holder, name)
+        monkeypatch.setattr(holder, name, lambda *a: (used.add(label), before(*a))[1])
+
+    with monkeypatch.context() as monkeypatch:
+        for name in ("predictor", "cross_colour", "subtract_green", "palette"):
+            spy(webp, f"_undo_{name}", name)
+        group = webp._read_group
+        monkeypatch.setattr(webp, "_read_group", lambda bits, size: (used.add("cache") if size else None, group(bits, size))[1])
+        pixels = webp.decode(data)
+        bits, codes = webp.Bits(webp._riff(data)[0]), []
+        read = webp._read_code
+        webp._READ.clear()
+        monkeypatch.setattr(webp, "_read_code", lambda *a: (codes.append(read(*a)), codes[-1])[1])
+        webp.decode_stream(bits.data)
+        if any(len({int(e) & 15 for e in c.table}) > 1 for c in codes):
+            used.add("codes of several lengths")
+        webp._READ.clear()
+        run = webp._Ahead._look
+
+        def look(self):
+            run(self)
+            used.update(["copies"] if any(a < 0 and c >= 2048 for a, c in zip(self.after, self.colour, strict=True)) else [])
+
+        monkeypatch.setattr(webp._Ahead, "_look", look)
+        webp.decode_stream(bits.data)
+    return pixels, used
+
+
+def test_encoder_uses_every_feature(monkeypatch):
+    """The queries' own encoder writes, and the queries' decoder inverts, what the format offers."""
+    rng = np.random.default_rng(3)
+    y, x = np.mgrid[:30, :64]
+    noise = rng.integers(0, 256, (30, 64))
+    green = rng.integers(-80, 80, (60, 64)) & 255
+    red = webp.colour_delta(np.uint32(48), green.astype(np.uint32))
+    colours = rng.integers(0, 256, (300, 3))
+    often = rng.choice(300, (120, 64), p=(w := 1 / np.arange(1, 301) ** 1.3) / w.sum())
+    words = " ".join(rng.choice(["the", "river", "of", "stone", "ran", "north", "again", "and", "under"], 900))
+    text = np.frombuffer(media.payload_of(words), np.uint8).reshape(-1, 64, 3)
+    for rgb, wanted in (
+        (np.stack([x * 2 + y, x + y * 3, x * 3 + 7 * y], -1) & 255, "predictor"), (np.stack([noise] * 3, -1), "subtract_green"), (np.stack([red, green, red + rng.integers(0, 2, (60, 64))], -1) & 255, "cross_colour"),
+        (colours[rng.integers(0, 5, (30, 64))], "palette"), (colours[often], "cache"), (text, "copies"), (text, "codes of several lengths"),
+    ):
+        pixels, used = used_features(monkeypatch, webp.encode(rgb.astype(np.uint8)))
+        assert wanted in used
+        assert (np.stack([pixels >> 16 & 255, pixels >> 8 & 255, pixels & 255], -1) == rgb).all()
+
+
+def test_codes_read_before_are_told_apart():
+    images = [np.random.default_rng(k).integers(0, 30 + k, (4 + k, 64, 3)).astype(np.uint8) for k in range(100)]
+    data = [webp.encode(i) for i in images]
+    for _ in range(2):
+        for image, d in zip(images, data, strict=True):
+            samples = webp.decode(d)
+            assert (np.stack([samples >> 16 & 255, samples >> 8 & 255, samples & 255], -1) == image).all()
+            with pytest.raises((webp.WebpError, struct.error)):
+                webp.decode(d[: len(d) // 2])
+
+
 def test_broken_streams_are_refused():
     good = write_stream(picture(8, 8, 100), (P,), copies=True)
     for bad in (good[:30], good[:4] + b"\0\0\0\0" + good[8:], b"x" + good, good[:20] + b"\x30" + good[21:], b"", good[: len(good) // 2]):
