@@ -221,15 +221,15 @@ class _Ahead:
         found = green.table.take(ahead[low:high] & green.mask)
         symbol = found >> 4
         at += found & 15
-        colour = symbol.astype(np.uint32) << np.uint32(8)
+        colour = symbol << 8
         other = np.flatnonzero(symbol > 255) if green.largest > 255 else at[:0]
         beyond = at[other]
         for code, shift in ((red, 16), (blue, 0), (alpha, 24)):
             if code.only is not None:
-                colour |= np.uint32(code.only << shift)
+                colour |= np.array(code.only << shift, np.uint32).view(np.int32)
             else:
                 found = code.table.take(ahead.take(at) & code.mask)
-                colour |= (found >> 4).astype(np.uint32) << np.uint32(shift)
+                colour |= (found >> 4) << shift
                 at += found & 15
         at -= low
         if len(other):
@@ -244,7 +244,7 @@ class _Ahead:
             self.lengths, self.aways = length.tolist(), np.where(away > len(NEAR), away - len(NEAR), near[np.minimum(away, len(NEAR)) - 1]).tolist()
             which = symbol - 280  # a slot of the cache, or past all slots the number of a copy
             which[copies] = 2048 + np.arange(len(copies))
-            at[other], colour[other] = low - beyond - 1, which.astype(np.uint32)
+            at[other], colour[other] = low - beyond - 1, which
         self.after, self.colour = array("i", at.tobytes()), array("I", colour.tobytes())
 
     def _number(self, prefix: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -577,9 +577,9 @@ class _Out:
         values, sizes = (np.concatenate(p) for p in zip(*self.parts, strict=True))
         there = sizes > 0
         values, sizes = values[there].astype(np.int32), sizes[there]
-        ends = np.cumsum(sizes)
-        nth = np.arange(int(ends[-1]), dtype=np.int32) - np.repeat((ends - sizes).astype(np.int32), sizes)
-        return np.packbits((np.repeat(values, sizes) >> nth & 1).astype(np.uint8), bitorder="little").tobytes()
+        which = np.repeat(np.arange(len(sizes)), sizes)
+        nth = np.arange(len(which), dtype=np.int32) - (np.cumsum(sizes) - sizes).astype(np.int32).take(which)
+        return np.packbits((values.take(which) >> nth & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
 @cache
