@@ -1,5 +1,6 @@
 import inspect
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -234,3 +235,60 @@ def test_kl_weight_of_a_row_is_that_of_its_stretch(spark):
     kl = spark.createDataFrame([(10, 1.0), (20, 3.0)], "pos long, kl double")
     got = {r["row_id"]: r["x_kl_weighted"] for r in infotheory.kl_weighted(df, {"x": kl}, "row_id", 10).collect()}
     assert got[5] == 2.0 and got[19] == pytest.approx(2 * (1 + math.log(2))) and got[20] == pytest.approx(2 * (1 + math.log(4)))
+
+
+def _dense_rank2(rows, width):
+    m, rank = np.zeros((len(rows), width), bool), 0
+    for r, row in enumerate(rows):
+        m[r, list(row)] = True
+    for c in range(width):
+        ones = rank + np.flatnonzero(m[rank:, c])
+        if len(ones):
+            m[[rank, ones[0]]] = m[[ones[0], rank]]
+            below = rank + 1 + np.flatnonzero(m[rank + 1 :, c])
+            m[below] ^= m[rank]
+            rank += 1
+    return rank
+
+
+def test_rank_over_two_elements_equals_elimination():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        width = int(rng.integers(1, 25))
+        rows = [set(rng.integers(0, width, int(rng.integers(0, 6))).tolist()) for _ in range(int(rng.integers(0, 30)))]
+        assert kernels.rank2(rows) == _dense_rank2(rows, width)
+    assert kernels.rank2([]) == 0
+
+
+def test_path_homology_of_many_paths_takes_memory_by_their_faces(spark):
+    """A window of 26 equal points: 14,950 paths of three edges, which a row for each path over all faces would make 39 MB; and a window of two such groups."""
+    group = lambda win, at: [(win, at + i, at + j) for i in range(26) for j in range(i + 1, 26)]
+    edges = spark.createDataFrame(group(0, 0) + group(1, 0) + group(1, 50), "win int, src long, dst long").toPandas()
+    run, tracked = [], []
+
+    class Edges:
+        def select(self, *_):
+            return self
+
+        groupBy = select
+
+        def applyInPandas(self, f, schema):
+            for _, pdf in edges.groupby("win"):
+                tracemalloc.start()
+                run.append(f(pdf))
+                tracked.append(tracemalloc.get_traced_memory()[1])
+                tracemalloc.stop()
+
+    topology.path_betti(Edges())
+    got = {(int(r.win), int(r.dim)): int(r.betti) for pdf in run for r in pdf.itertuples()}
+    assert got == {(0, 0): 1, (0, 1): 0, (0, 2): 0, (1, 0): 2, (1, 1): 0, (1, 2): 0}
+    assert tracked[0] < 60e6
+
+
+def test_windows_of_points_are_dealt_out(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        dist = queries._dist(spark, "/root/testdata/sf0.001")
+        assert dist.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")

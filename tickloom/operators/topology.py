@@ -27,7 +27,8 @@ def windows_of(points: DataFrame, size: int = SIZE, step: int = STEP) -> DataFra
 
 def _pairs(member: DataFrame, columns: list[str]) -> DataFrame:
     side = lambda k: member.select("win", *[F.col(c).alias(f"{c}_{k}") for c in ("pos", *columns)])
-    return side("i").join(side("j"), "win").where("pos_i < pos_j")
+    # dealt by window: a broadcast side would leave the pairs in as many tasks as the points have files
+    return side("i").join(side("j").hint("merge"), "win").where("pos_i < pos_j")
 
 
 def temporal_distance(points: DataFrame, norm: int = 2, size: int = SIZE, step: int = STEP, alpha: float = ALPHA, beta: float = BETA) -> DataFrame:
@@ -190,22 +191,9 @@ def path_betti(edges: DataFrame, k: int = 2, compat: bool = False) -> DataFrame:
                 if d == 0:
                     kernel_rank.append((len(nodes), 0))
                     continue
-                known, extra = {p: i for i, p in enumerate(level[d - 1])}, {}
-                inside, outside = np.zeros((len(level[d]), len(known)), bool), []
-                for r, p in enumerate(level[d]):
-                    miss = []
-                    for c in range(len(p)):
-                        q = p[:c] + p[c + 1 :]
-                        if q in known:
-                            inside[r, known[q]] ^= True
-                        else:
-                            miss.append(extra.setdefault(q, len(extra)))
-                    outside.append(miss)
-                m = np.zeros((len(level[d]), len(extra)), bool)
-                for r, miss in enumerate(outside):
-                    m[r, miss] ^= True
-                whole = rank2(np.hstack([m, inside])) if len(level[d]) else 0
-                lost = rank2(m) if m.size else 0
+                known, at = len(level[d - 1]), {p: i for i, p in enumerate(level[d - 1])}
+                faces = [{at.setdefault(p[:c] + p[c + 1 :], len(at)) for c in range(len(p))} for p in level[d]]
+                whole, lost = rank2(faces), rank2([{q for q in face if q >= known} for face in faces])
                 # allowed chains: kernel of the missing part; their boundary's rank is what is left of the whole rank
                 kernel_rank.append((len(level[d]) - lost, whole - lost))
             out = [(d, kernel_rank[d][0] - kernel_rank[d][1] - kernel_rank[d + 1][1]) for d in range(k + 1)]
