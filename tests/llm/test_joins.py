@@ -292,3 +292,14 @@ def test_boundary_is_bounded_however_long_the_lists():
         at = [rule.boundary(jaccard.pairs_cost(x)) for x in (0.0, 0.3, 1.0, 1e3, 1e9)]
         assert at == sorted(at) and at[2] == at[4]
         assert rule.subsets(at[4] - 1) <= rule.prefix(at[4] - 1) * (1 + jaccard.PAIR_COST)
+
+
+def test_candidates_are_written_before_they_are_settled_and_the_driver_is_released(spark, monkeypatch):
+    """What is settled is read several times, so it must not be computed each time; and the driver drops what finished steps left."""
+    given, released, settle = [], [], jaccard.settle
+    monkeypatch.setattr(jaccard, "settle", lambda docs, pairs, *a: given.append(hasattr(pairs, "_written_to")) or settle(docs, pairs, *a))
+    monkeypatch.setattr(jaccard, "release", lambda session: released.append(session) or common.release(session), raising=False)
+    pairs = [(i, t) for i, t in enumerate(corpus(30, 3))]
+    found = jaccard.join(docs(spark, [t for _, t in pairs]), THREE, count_links=False)
+    assert rows(found, "doc_id", "n_shingles", "component_id") == brute(pairs)
+    assert given == [True, True] and len(released) >= 3

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -51,6 +52,16 @@ def forget(*tables: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver collect what steps that are written have left: plans, broadcast tables, and with them shuffle files.
+
+    Spark drops these only when the driver happens to collect its garbage, and with
+    hundreds of small jobs the heap grows to its limit before that.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def lookup(rows: DataFrame, facts: DataFrame, key: list[str], n_rows: int, spread: str, count: str = "n", share: int = HOT_SHARE) -> DataFrame:
     """Left join of ``rows`` with ``facts`` (one row per key, ``count`` its number of rows) that no hot key slows.
 

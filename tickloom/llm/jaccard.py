@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, components, forget, lookup, materialize
+from .common import HOT_SHARE, components, forget, lookup, materialize, release
 from .shingles import Words, mix, shingles
 
 #: Words in a shingle, and the least similarity in percent.
@@ -637,6 +637,7 @@ def settle(docs: DataFrame, pairs: DataFrame, links: DataFrame | None, rule: Rul
         if links is None or new.take(1):
             links = new if links is None else links.unionByName(new)
             found = components(links)
+        release(docs.sparkSession)
     return links, found
 
 
@@ -662,6 +663,7 @@ def join(docs: DataFrame, rule: Rule = Rule(), count_links: bool = True) -> Data
     keys, written = keyed(docs, copies, rule, levels_of(signed.where("at is not null").select("at", "counts")))
     members = lists_of(keys, nodes.count())
     forget(written, copies)
+    release(docs.sparkSession)
     slim = nodes.where("node is not null").select("node", "n", *_NARROW, "sketch")
     met = members.where("node <> first.node").select(F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.n").alias("n_a"), F.col("n").alias("n_b"), F.col("first.pos").alias("pos_a"), F.col("pos").alias("pos_b"))
     stars = materialize(met.where(may_link(rule, "a", "b")).select("a", "b").distinct(), "stars")
@@ -671,7 +673,8 @@ def join(docs: DataFrame, rule: Rule = Rule(), count_links: bool = True) -> Data
     minor = materialize(minorities(members, found), "minor")
     few = shorter(docs, materialize(still_open(minor.select("key", "node", "n", "pos", "comp")), "open"), rule)
     rest = pairs_of(few, slim, rule).unionByName(pairs_with(minor, found, slim, rule)).distinct()
-    rest = near(materialize(rest, "rest"), slim, rule)
+    rest = materialize(near(materialize(rest, "rest"), slim, rule), "likely")
+    release(docs.sparkSession)
     links, found = settle(docs, rest, links, rule, found)
     forget(members, minor, few, stars, likely)
     more_facts, more_columns = [], []
