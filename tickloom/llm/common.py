@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 #: Keys with fewer rows than this are never worth separating.
 HOT_MIN_ROWS = 256
+#: Bytes of a batch of rows for a Python worker, about; a longer row is a batch of its own.
+BATCH_BYTES = 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +68,39 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile goes to Python workers in batches of ``BATCH_BYTES``, or of the session's own bound if that is less.
+
+    By Spark's bounds (10,000 rows, 64 MB) a task's share of texts is one batch,
+    and the executor and its workers hold it in several forms at once.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    own = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before))
+    spark.conf.set(key, min(own, BATCH_BYTES) if own > 0 else BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def thrifty(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``kernel`` for ``mapInArrow`` after which the worker gives the memory it has freed back to the system.
+
+    A worker lives on for the tasks of other stages, and what its allocators keep
+    counts towards the executor's memory all that time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from kernel(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run
+
+
 def lookup(rows: DataFrame, facts: DataFrame, key: list[str], n_rows: int, spread: str, count: str = "n", share: int = HOT_SHARE) -> DataFrame:
     """Left join of ``rows`` with ``facts`` (one row per key, ``count`` its number of rows) that no hot key slows.
 

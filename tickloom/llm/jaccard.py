@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, components, forget, lookup, materialize, release
+from .common import HOT_SHARE, components, forget, lookup, materialize, release, small_batches, thrifty
 from .shingles import Words, mix, shingles
 
 #: Words in a shingle, and the least similarity in percent.
@@ -240,7 +240,7 @@ def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
             none = [pa.nulls(len(packed), f.type) for f in list(_SIG)[:-2]]
             yield pa.RecordBatch.from_arrays([*none, pa.array([i for i, _ in packed], pa.int32()), pa.array([x for _, x in packed], pa.binary())], schema=_SIG)
 
-    return _texts(docs).mapInArrow(sign, "doc_id bigint, n bigint, h1 bigint, h2 bigint, " + ", ".join(f"{c} bigint" for c in _NARROW) + ", sketch array<bigint>, at int, counts binary")
+    return _texts(docs).mapInArrow(thrifty(sign), "doc_id bigint, n bigint, h1 bigint, h2 bigint, " + ", ".join(f"{c} bigint" for c in _NARROW) + ", sketch array<bigint>, at int, counts binary")
 
 
 def levels_of(counts: DataFrame) -> np.ndarray:
@@ -259,7 +259,7 @@ def levels_of(counts: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array(found, pa.binary())], names=["at", "levels"])
 
     out = np.zeros(COUNTERS, np.uint8)
-    for r in counts.repartition(COUNTERS // PER_ROW, "at").mapInArrow(add, "at int, levels binary").collect():
+    for r in counts.repartition(COUNTERS // PER_ROW, "at").mapInArrow(thrifty(add), "at int, levels binary").collect():
         out[r["at"] * PER_ROW : (r["at"] + 1) * PER_ROW] = np.frombuffer(r["levels"], np.uint8)
     return out
 
@@ -326,7 +326,7 @@ def keyed(docs: DataFrame, copies: DataFrame, rule: Rule, levels: np.ndarray) ->
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(_marked(bits, b.column(2))), *lists], names=["node", "n", "h1", "h2", "maybe", "lists", "subsets"])
 
     rows = _texts(docs).where("doc_id is not null").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(size)))
-    every = rows.mapInArrow(run, "node bigint, n bigint, h1 bigint, h2 bigint, maybe boolean, lists array<bigint>, subsets array<bigint>")
+    every = rows.mapInArrow(thrifty(run), "node bigint, n bigint, h1 bigint, h2 bigint, maybe boolean, lists array<bigint>, subsets array<bigint>")
     every = materialize(every.where(F.size("lists") + F.size("subsets") > 0), "keyed")
     columns = ["node", "n", "lists", "subsets"]
     sure = every.where("not maybe").select(*columns)
@@ -343,7 +343,7 @@ def _read_again(docs: DataFrame, ids: DataFrame, schema: str, cut) -> DataFrame:
             yield cut(b.filter(pa.array(_marked(shared.value, b.column(2)))))
 
     rows = _texts(docs).where("doc_id is not null").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(size)))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(thrifty(run), schema)
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
@@ -453,7 +453,7 @@ def shorter(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
                 found = [block_keys(np.asarray(x, np.int64).view(np.uint64), rule, seed).view(np.int64) for x in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "more"])
 
-        more = sets.where("n > 0").select("node", "shingles").mapInArrow(again, "node bigint, more array<bigint>")
+        more = sets.where("n > 0").select("node", "shingles").mapInArrow(thrifty(again), "node bigint, more array<bigint>")
         parts = inside.join(more, "node").select(*columns, F.explode("more").alias("part")).withColumn("key", F.xxhash64("key", "part")).drop("part")
         old, members = members, materialize(still_open(marked.where("k is null").select(*columns).unionByName(parts.distinct())), "open")
         forget(sets, long, old)
@@ -652,6 +652,11 @@ def join(docs: DataFrame, rule: Rule = Rule(), count_links: bool = True) -> Data
     row's, those of equal sets included; an id with several texts counts with
     each.  Other columns are not read; an empty table gives an empty result.
     """
+    with small_batches(docs.sparkSession):
+        return _joined(docs, rule, count_links)
+
+
+def _joined(docs: DataFrame, rule: Rule, count_links: bool) -> DataFrame:
     signed = materialize(signatures(docs, rule), "sig")
     sig = signed.where("at is null")
     nodes = sig.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", *_NARROW, "sketch")])
